@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jaccard import jaccard_components
+from .packing import pack_documents
+from .substring_dedup import remove_repeats
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +21,19 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), n=5, percent=75)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(documents(spark, sf_dir), span=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -37,5 +52,28 @@ WITH RECURSIVE words AS (
 )
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)
+""",
+    "op8_substring_dedup": r"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), hashed AS (
+  SELECT doc_id, w, list_transform(w, lambda x: hash(x)) AS h FROM words
+), wins AS (
+  SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, h FROM hashed WHERE len(w) >= 35
+), keyed AS (
+  SELECT doc_id, i, hash(h[i:i+34]) AS k FROM wins
+), twice AS (
+  SELECT k FROM keyed GROUP BY k HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM keyed JOIN twice USING (k))
+), listed AS (
+  SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+), each AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words
+), kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) AS t FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p WHERE g.p IS NULL GROUP BY e.doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(l.ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words w LEFT JOIN listed l ON l.doc_id = w.doc_id LEFT JOIN kept k ON k.doc_id = w.doc_id
 """,
 }
