@@ -196,23 +196,25 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
         if (ids := self.words.get(word)) is None:
             if len(self.words) > _MEMORY:
                 self.words.clear()
-            found = self.tokenizer.model.tokenize("".join([self.letters[b] for b in word.encode()]))
-            self.words[word] = ids = np.array([t.id for t in found], "<u4").tobytes()
+            found = self.model.tokenize(word if word.isascii() else "".join([self.letters[b] for b in word.encode()]))
+            self.words[word] = ids = b"".join([self.packed[t.id] for t in found])
         return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+        if _PLAIN.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
             ids = b"".join([self.word(w) for w in _WORD.findall(text.lower())])
         else:
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language
+from . import quality as quality_rules
 from .jaccard import jaccard_components
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
@@ -17,10 +19,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out() -> Column:
+    """Whether a document is kept from training: the CRC-32 of its id as text leaves 2 when divided by 4."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    crf = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), sample_docs=2_000)
+    return quality_rules.quality(docs, crf, least_words=50, repeat_percent=50, share=0.5)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), n=5, percent=75)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.train(docs.where(~held_out()), sample_docs=4_000)
+    return language.identify(docs, model, penalty=16.0).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(documents(spark, sf_dir), span=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -31,7 +50,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_rules": op5_quality_rules,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
