@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language
+from . import bpe, language, licenses, transport_stream
 from . import quality as quality_rules
 from .jaccard import jaccard_components
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
+from .token_counts import token_counts
+from .url_filter import filter_urls
+
+#: Rules of the URL filter: host and path in one, and what they decide.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +29,41 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    media = transport_stream.store(docs, keep=("doc_id", "n_bytes"))
+    # digests of the stored form are taken before it is read back, so that it need not be carried on
+    media = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    read = transport_stream.read(media, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    entries = F.expr("filter(units, u -> u.random_access)")
+    feature = F.format_string(
+        "packets=%d streams=%d units=%d complete=%d entries=%d last_pts=%d index=%s gaps=%d repeats=%d errors=%d",
+        "packets", F.size("streams"), F.size("units"), F.size(F.expr("filter(units, u -> u.complete)")), F.size(entries),
+        F.expr("array_max(transform(units, u -> u.pts))"), F.md5(F.expr("array_join(transform(filter(units, u -> u.random_access), u -> concat(u.pts, '@', u.packet)), ' ')").cast("binary")),
+        "gaps", "repeats", "errors",
+    )
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("data").cast("long").alias("payload_bytes"), F.sha2("data", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(data, -64, 64)")).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"),
+    )
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encode(documents(spark, sf_dir), path)
+    ids = ids.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256)})
+    decoded = bpe.decode(ids, path, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     crf = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), sample_docs=2_000)
@@ -49,14 +89,91 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES, threshold=0.5, damping=0.85, rounds=20)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_transport_stream": op2_transport_stream,
+    "op3_bpe": op3_bpe,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_url_filter": op10_url_filter,
 }
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _license_sql() -> str:
+    """Normal forms and digests of documents, their lines and the known texts."""
+
+    def digest(x: str) -> str:
+        x = rf"chr(10) || lower(regexp_replace({x}, '\r\n?', chr(10), 'g'))"
+        x = f"regexp_replace({x}, {_text(licenses.COPYRIGHT)}, '', 'g')"
+        x = f"regexp_replace({x}, {_text(licenses.RESERVED)}, chr(10), 'g')"
+        x = f"regexp_replace(' ' || {x} || ' ', {_text(licenses.APART)}, '  ', 'g')"
+        for one, other in licenses.EQUIVALENT:
+            x = f"replace({x}, ' {one} ', ' {other} ')"
+        return f"sha256({x})"
+
+    rows = lambda texts: ", ".join(f"({_text(k)}, {_text(v)})" for k, v in texts.items())
+    return f"""
+WITH texts AS (SELECT {digest("t")} AS digest, min(i) AS license_id FROM (VALUES {rows(licenses.TEXTS)}) v(i, t) GROUP BY 1
+), notes AS (SELECT {digest("t")} AS d, min(i) AS i FROM (VALUES {rows(licenses.NOTICES)}) v(i, t) GROUP BY 1
+), lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents
+), hits AS (
+  SELECT doc_id, string_agg(DISTINCT i, ',' ORDER BY i) AS notices FROM (SELECT doc_id, {digest("line")} AS d FROM lines) JOIN notes USING (d) GROUP BY doc_id
+), docs AS (SELECT doc_id, {digest("text")} AS digest FROM documents)
+SELECT docs.doc_id, docs.digest, license_id, coalesce(notices, '') AS notices
+FROM docs LEFT JOIN texts ON texts.digest = docs.digest LEFT JOIN hits ON hits.doc_id = docs.doc_id
+"""
+
+
+def _url_filter_sql(rounds: int = 20) -> str:
+    """Both propagations, unrolled: trust along the links between hosts, distrust against them."""
+    steps = ["s0 AS MATERIALIZED (SELECT * FROM seeds)"]
+    for n in range(1, rounds + 1):
+        steps.append(f"""s{n} AS MATERIALIZED (
+  SELECT kind, host, sum(seed) AS seed FROM (
+    SELECT kind, host, seed FROM seeds UNION ALL
+    SELECT e.kind, e.target, 0.85 * s.seed * e.share FROM s{n - 1} s JOIN edges e ON e.kind = s.kind AND e.source = s.host
+  ) GROUP BY kind, host)""")
+    return r"""
+WITH rules(h, p, rule, rv) AS (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'), ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')
+), cut AS (
+  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), ruled AS (
+  SELECT page_id, html, host, path,
+    (SELECT {'rule': r.rule, 'rv': r.rv} FROM rules r WHERE (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) ORDER BY length(r.rule) DESC, r.rule LIMIT 1) AS r FROM split
+), own AS (
+  SELECT host, avg(CASE WHEN r.rv = 'allow' THEN 1.0 ELSE 0.0 END) AS allow, avg(CASE WHEN r.rv = 'block' THEN 1.0 ELSE 0.0 END) AS block FROM ruled WHERE host <> '' GROUP BY host
+), seeds AS MATERIALIZED (
+  SELECT 'trust' AS kind, host, allow AS seed FROM own WHERE allow > 0 UNION ALL SELECT 'distrust', host, block FROM own WHERE block > 0
+), found AS (
+  SELECT host AS a, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?(?:https?:)?//([^/?#"''\s<>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b FROM ruled WHERE host <> ''
+), links AS MATERIALIZED (
+  SELECT a, b, count(*) AS n FROM found WHERE a <> b GROUP BY a, b
+), edges AS MATERIALIZED (
+  SELECT 'trust' AS kind, a AS source, b AS target, n / sum(n) OVER (PARTITION BY a) AS share FROM links
+  UNION ALL SELECT 'distrust', b, a, n / sum(n) OVER (PARTITION BY b) FROM links
+), """ + ",\n".join(steps) + f"""
+, scores AS (
+  SELECT host, sum(CASE WHEN kind = 'distrust' THEN seed ELSE -seed END) AS bad FROM s{rounds} GROUP BY host
+)
+SELECT page_id, ruled.host, path, r.rule AS rule, coalesce(r.rv, CASE WHEN round(coalesce(bad, 0), 9) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN scores ON scores.host = ruled.host
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op6_jaccard_join": r"""
 WITH RECURSIVE words AS (
@@ -96,5 +213,21 @@ WITH words AS (
 )
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(l.ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM words w LEFT JOIN listed l ON l.doc_id = w.doc_id LEFT JOIN kept k ON k.doc_id = w.doc_id
+""",
+    "op10_url_filter": _url_filter_sql(),
+    "op4_license_scan": _license_sql(),
+    "op1_token_counts": rf"""
+WITH RECURSIVE vocab AS MATERIALIZED (
+  SELECT DISTINCT hex(from_base64(split_part(l, ' ', 1))) AS h FROM (SELECT unnest(string_split(content, chr(10))) AS l FROM read_text('{public_tokenizers.path("byte_bpe_50k.tiktoken")}')) WHERE l <> ''
+), each AS MATERIALIZED (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents
+), walk(w, rest, n) AS (
+  SELECT w, hex(encode(' ' || w)), 0 FROM (SELECT DISTINCT w FROM each)
+  UNION ALL
+  SELECT w, substr(rest, max(k) + 1), n + 1 FROM (SELECT w, rest, n, unnest(range(2, least(length(rest), 256) + 1, 2)) AS k FROM walk WHERE rest <> '') JOIN vocab ON h = substr(rest, 1, k)
+  GROUP BY w, rest, n
+), sizes AS (SELECT w, n FROM walk WHERE rest = ''
+), sums AS (SELECT doc_id, count(*) AS n_words, CAST(sum(n) AS BIGINT) AS n_tokens FROM each JOIN sizes USING (w) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_tokens, 0) AS n_tokens FROM documents d LEFT JOIN sums USING (doc_id)
 """,
 }
