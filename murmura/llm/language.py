@@ -49,6 +49,11 @@ def _letters() -> np.ndarray:
     return kinds
 
 
+def script_of(letter: str) -> int:
+    """The index in SCRIPTS of a letter's script, -1 for what is no letter."""
+    return int(_letters()[ord(letter)])
+
+
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(letters, script or -1) of each word, and (word, bucket) of each gram of two or three letters or edges, in lower case.
 

@@ -103,10 +103,13 @@ def best_fit(counts: Counter, capacity: int) -> list[tuple[Pattern, int]]:
         todo = counts[length]
         while todo:
             i = bisect.bisect_left(rooms, length)
-            room = rooms[i] if i < len(rooms) else capacity
-            pattern, bins = left[room].pop() if i < len(rooms) else ((), todo)
-            if i < len(rooms) and not left[room]:
-                del left[room], rooms[i]
+            old = i < len(rooms)
+            room, pattern, bins = capacity, (), todo
+            if old:
+                room = rooms[i]
+                pattern, bins = left[room].pop()
+                if not left[room]:
+                    del left[room], rooms[i]
             each = room // length
             full = min(bins, todo // each)
             put((*pattern, (length, each)), room - each * length, full)
@@ -115,7 +118,7 @@ def best_fit(counts: Counter, capacity: int) -> list[tuple[Pattern, int]]:
             if todo and rest:
                 put((*pattern, (length, todo)), room - todo * length, 1)
                 todo, rest = 0, rest - 1
-            if i < len(rooms) or pattern:
+            if old:
                 put(pattern, room, rest)
     return [(p, n) for room in rooms for p, n in left[room]]
 

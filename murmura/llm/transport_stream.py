@@ -164,7 +164,7 @@ def read_stream(stream: bytes) -> dict:
     bad = (rows[:, 1] & 0x80) != 0
     start, control, counter = (rows[:, 1] & 0x40) != 0, rows[:, 3] >> 4 & 3, rows[:, 3] & 15
     extra = np.where(control & 2, rows[:, 4].astype(np.int32) + 1, 0)
-    flags = np.where((control & 2) & (extra > 1), rows[:, 5], 0)
+    flags = np.where(((control & 2) != 0) & (extra > 1), rows[:, 5], 0)
     begin = np.where(control & 1, np.minimum(4 + extra, PACKET), PACKET)
     out = {"streams": [], "units": [], "data": b"", "packets": len(rows), "lost_bytes": lost, "errors": int(bad.sum()), "gaps": 0, "repeats": 0}
 
