@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from murmura.llm import jaccard, substring_dedup
 from murmura.llm.jaccard import jaccard_components
@@ -68,13 +69,35 @@ def test_chains_link_although_their_ends_do_not(spark):
 def test_hot_tokens_are_split_and_still_link(spark, monkeypatch):
     """Salted leaders of one token meet again."""
     docs = [(i, " ".join([f"c{k}" for k in range(40)] + [f"own{i}"])) for i in range(40)]
-    rows = [(7, s, 4, 100 + i, 40, 0) for i, s in enumerate(sorted(i % 4 for i in range(40)))]
-    made = spark.createDataFrame(rows, "token long, salt int, splits int, set_id long, size int, place int").coalesce(1).mapInArrow(jaccard._stars, "token long, set_id long, size int, place int, leader long, lead_size int, lead_place int, splits int").collect()
-    assert len(made) == 40 and {r.leader for r in made} == {100, 110, 120, 130}
+    rows = sorted((7, 100 + i, 2 << 56 | 40) for i in range(40))
+    rows.sort(key=lambda r: (r[0], r[1] & 3, r[2], r[1]))
+    made = spark.createDataFrame(rows, "token long, set_id long, packed long").coalesce(1).mapInArrow(jaccard._stars(75), "token long, set_id long, size long, place long, leader long, other long, heads_salt boolean, posted boolean").collect()
+    assert len(made) == 40 and [r.set_id for r in made if r.heads_salt] == [100, 101, 102, 103] and all(r.posted for r in made)
+    assert {r.leader for r in made} == {None, 100, 101, 102, 103}
     found = jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.component_id for r in found} == {0}
 
 
+def test_stars_do_not_depend_on_batches():
+    r = random.Random(11)
+    rows = sorted((t, k & ((1 << s) - 1), 60 + k % 7, k, s << 56 | (k % 5) << 28 | (60 + k % 7)) for t in range(60) for s in [r.choice([0, 0, 0, 1])] for k in r.choices(range(40), k=r.choice([1, 2, 3, 30])))
+    columns = [(x[0], x[3], x[4]) for x in rows]
+
+    def made(size, wait):
+        old, jaccard._WAIT = jaccard._WAIT, wait
+        parts = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in columns[at : at + size]], pa.int64()) for i in range(3)], ["token", "set_id", "packed"]) for at in range(0, len(columns), size)]
+        try:
+            return [tuple(x.values()) for b in jaccard._stars(75)(iter(parts)) for x in b.to_pylist()]
+        finally:
+            jaccard._WAIT = old
+
+    whole = made(10_000, 10_000)
+    assert made(1, 10_000) == made(7, 10_000) == whole and len(whole) > 100
+    for size, wait in ((1, 3), (5, 4), (16, 8)):  # tokens with more rows than wait are given as they come, all posted
+        part = made(size, wait)
+        assert {x[:6] for x in part} >= {x[:6] for x in whole if x[7]}
+
+
 def test_awkward_rows(awkward, no_rows):
     rows = jaccard_components(awkward).collect()
     assert len(rows) == awkward.count()
