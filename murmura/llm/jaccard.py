@@ -6,9 +6,10 @@ A query document first bounds its overlap with a group's token union and opens o
 1. One pass gives each document its set of shingle hashes (size and a 64-bit name of the set) and counts all tokens of
    the corpus in a sketch of fixed size. Documents with the same set become one set.
 2. A set of size n can reach the similarity only with sets that share one of its n - ceil(t n) + 1 first tokens in any
-   fixed order; rare tokens (by the sketch) come first, so that common lines and passages are not among them.
-3. Sets that share a first token are compared with the least set that has it (a star, not all pairs); what links forms
-   the groups.
+   fixed order; rare tokens (by the sketch) come first, so that common lines and passages are not among them. The first
+   token that two sets share also bounds their overlap by the tokens after it, in either set.
+3. Of the sets that share a first token, in order of size, each is compared with the first and the one before it (a star
+   and a chain, not all pairs); what links forms the groups. A token that two sets have is done with then.
 4. The token-group matrix (token, group) then gives each remaining query set the groups of other components; their
    members' union bounds the overlap, and qualifying groups are opened and compared exactly.
 5. Components of all links name the result.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import connected_components, if_small, materialize, prepare, utf8
+from .runtime import batches_of, connected_components, if_small, materialize, prepare, utf8
 from .words import WordHashes, mix, windows
 
 #: Buckets of the token sketch, in slices: 4 bytes each, whatever the corpus.
@@ -94,7 +95,7 @@ def _prefixes(levels, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, salts, splits, names, sizes = [], [], [], [], []
+            tokens, names, packed = [], [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), utf8(batch["text"]), strict=True):
                 own = shingles(text, n)
                 if doc_id is None or not len(own) or (name := _name(own)) in seen:
@@ -104,47 +105,87 @@ def _prefixes(levels, n: int, percent: int):
                 seen.add(name)
                 level = levels.value[own >> np.uint64(64 - SKETCH_BITS)]
                 first = np.lexsort((own, level))[: len(own) - (percent * len(own) + 99) // 100 + 1]
-                split = 1 << np.maximum(level[first].astype(np.int64) // 8 - 16, 0)  # a token's rows are split beyond 65,536
+                splits = np.maximum(level[first].astype(np.int64) // 8 - 16, 0)  # powers of two: a token's rows are split beyond 65,536
                 tokens.append(own[first].view(np.int64))
-                salts.append(name % split)
-                splits.append(split)
                 names.append(np.full(len(first), name, np.int64))
-                sizes.append(np.full(len(first), len(own), np.int64))
+                packed.append(splits << 56 | np.arange(len(first)) << 28 | len(own))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, salts, splits, names, sizes)], ["token", "salt", "splits", "set_id", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, names, packed)], ["token", "set_id", "packed"])
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, salt and set: those of tokens that two sets have, with the token's least set as leader."""
-    last = None  # token, salt, set and size of the leader, set before, whether the leader was given
-    for batch in batches:
-        token, salt, splits, name, size = (batch[c].to_numpy() for c in ("token", "salt", "splits", "set_id", "size"))
-        if not len(token):
-            continue
+#: Rows of a token that wait for the rest of its rows; with more, they go on as they come.
+_WAIT = 4_096
+_SIZE, _PLACE = (1 << 28) - 1, (1 << 28) - 1
+
+
+def _stars(percent: int):
+    """Of rows sorted by token, salt, size and set: rows of tokens that two sets have, with the first set of the token as
+    leader and the one before, each where both can still link. posted: a third set may have the token."""
+
+    def near(size, rest, other_size, other_rest):
+        fits = 100 * np.minimum(size, other_size) >= percent * np.maximum(size, other_size)
+        return fits & (np.minimum(rest, other_rest) * (100 + percent) >= percent * (size + other_size))
+
+    def describe(rows: np.ndarray, lead: np.ndarray | None, before: np.ndarray | None) -> pa.RecordBatch:
+        """rows: (token, set, packed) by column, of whole tokens, or the next ones of the token that lead and before are of."""
+        token, name, packed = rows
+        size, place, splits = packed & _SIZE, packed >> 28 & _PLACE, packed >> 56
+        salt = name & ((1 << splits) - 1)
         head = np.ones(len(token), bool)
         head[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
         again = np.zeros(len(token), bool)
         again[1:] = ~head[1:] & (name[1:] == name[:-1])
-        goes_on = last is not None and (token[0], salt[0]) == last[:2]
-        if goes_on:
-            head[0], again[0] = False, name[0] == last[4]
-        start = np.maximum.accumulate(np.where(head, np.arange(len(token)), -1))
-        leader, lead_size = name[start], size[start]
-        if goes_on:
-            leader[start < 0], lead_size[start < 0] = last[2], last[3]
-        member = ~head & ~again
-        counted = np.cumsum(member)
-        before = np.where(start >= 0, counted[start], int(bool(goes_on and last[5])) * -1)
-        opens = member & (counted - before == 1)  # the first member brings its leader
-        lead = head & (splits > 1)
-        opens &= ~(splits > 1)
-        put = [np.concatenate([x[member], y[opens], x[lead]]) for x, y in ((token, token), (name, leader), (size, lead_size), (leader, leader), (lead_size, lead_size), (splits, splits))]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in put], ["token", "set_id", "size", "leader", "lead_size", "splits"])
-        given = bool(goes_on and last[5]) if start[-1] < 0 else False
-        given |= bool(member[max(start[-1], 0) :].any())
-        last = (token[-1], salt[-1], leader[-1], lead_size[-1], name[-1], given)
+        if lead is not None:
+            head[0], again[0] = False, name[0] == before[1]
+        keep = ~again
+        token, name, packed, size, place, splits, salt, head = (x[keep] for x in (token, name, packed, size, place, splits, salt, head))
+        first = np.maximum.accumulate(np.where(head, np.arange(len(token)), -1))
+        prior = np.arange(len(token)) - 1
+        columns = []
+        for at, carried in ((first, lead), (prior, before)):
+            n, p = name[at], packed[at]
+            if carried is not None:
+                n[at < 0], p[at < 0] = carried[1], carried[2]
+            s = p & _SIZE
+            ok = ~head & near(size, size - place, s, s - (p >> 28 & _PLACE))
+            columns.append((n, ok))
+        run = np.cumsum(head)
+        total = np.bincount(run, minlength=run[-1] + 1 if len(run) else 1)[run] if len(run) else run
+        total = np.where(run == 0, _WAIT, total)  # run 0 goes on from rows before
+        (leader, star), (other, chain) = columns
+        chain &= leader != other
+        posted = (total > 2) | (splits > 0)
+        use = (total > 1) & (posted | star) | (splits > 0)
+        pick = lambda x, ok: pa.array(x[use], mask=~ok[use])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x[use]) for x in (token, name, size, place)] + [pick(leader, star), pick(other, chain), pa.array((splits[use] > 0) & head[use]), pa.array(posted[use])],
+            ["token", "set_id", "size", "place", "leader", "other", "heads_salt", "posted"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, lead, before = np.empty((3, 0), np.int64), None, None
+        for batch in batches:
+            rows = np.concatenate([waiting, np.stack([batch[c].to_numpy() for c in ("token", "set_id", "packed")])], 1)
+            if not rows.shape[1]:
+                continue
+            salt = rows[1] & ((1 << (rows[2] >> 56)) - 1)
+            changes = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (salt[1:] != salt[:-1])) + 1
+            if lead is not None and (rows[0][0] != lead[0] or salt[0] != lead[1] & ((1 << (lead[2] >> 56)) - 1)):
+                lead = before = None
+            cut = int(changes[-1]) if len(changes) else 0
+            if cut:
+                yield describe(rows[:, :cut], lead, before)
+                lead = before = None
+            waiting = rows[:, cut:]
+            if waiting.shape[1] > _WAIT or lead is not None:
+                yield describe(waiting, lead, before)
+                lead, before, waiting = waiting[:, 0] if lead is None else lead, waiting[:, -1], waiting[:, :0]
+        if waiting.shape[1]:
+            yield describe(waiting, None, None)
+
+    return run
 
 
 def _open(n: int, percent: int):
@@ -191,6 +232,11 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _reach(rest: str, other_rest: str, sizes: str, percent: int) -> str:
+    """SQL: sets of these sizes can still link if a token, with so many from it on in either, is the first they share."""
+    return f"least({rest}, {other_rest}) * {100 + percent} >= {percent} * ({sizes})"
+
+
 def _verify(docs: DataFrame, first: DataFrame, members: DataFrame, queries: DataFrame, n: int, percent: int) -> DataFrame:
     """Links of queries (group_id, set_id) to members (group_id, set_id). first: the document (doc_id) of each set_id.
 
@@ -201,10 +247,8 @@ def _verify(docs: DataFrame, first: DataFrame, members: DataFrame, queries: Data
     asked = queries.join(splits, "group_id").select("group_id", F.expr("pmod(set_id, parts)").alias("salt"), F.lit(1).alias("kind"), "set_id")
     opened = members.join(splits, "group_id").select("group_id", F.explode(F.expr("sequence(0L, parts - 1)")).alias("salt"), F.lit(0).alias("kind"), "set_id")
     rows = materialize(opened.union(asked).join(first, "set_id"), "compare")
-    wanted = materialize(rows.select("doc_id").distinct(), "wanted")
-    texts = docs.join(if_small(wanted), "doc_id")
     return (
-        rows.join(texts, "doc_id").select("group_id", "salt", "kind", "set_id", "text")
+        docs.join(if_small(rows), "doc_id").select("group_id", "salt", "kind", "set_id", "text")
         .repartition("group_id", "salt").sortWithinPartitions("group_id", "salt", "kind")
         .mapInArrow(_open(n, percent), "a long, b long")
     )
@@ -225,16 +269,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = described.where("slice is null").select("doc_id", "n_shingles", "set_id")
     first = materialize(sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "first")
 
-    prefixes = docs.mapInArrow(_prefixes(levels, n, percent), "token long, salt long, splits long, set_id long, size long")
-    posts = materialize(
-        prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "set_id")
-        .mapInArrow(_stars, "token long, set_id long, size long, leader long, lead_size long, splits long"), "stars",
-    )
-    near = f"100 * least(size, lead_size) >= {percent} * greatest(size, lead_size)"
-    heads = posts.where("splits > 1 and set_id = leader").groupBy("token").agg(F.min(F.struct("set_id", "size")).alias("h"))
-    salted = posts.where("splits > 1 and set_id = leader").join(heads, "token").select("token", "set_id", "size", F.col("h.set_id").alias("leader"), F.col("h.size").alias("lead_size"))
-    stars = posts.drop("splits").unionByName(salted).where(near).where("set_id <> leader")
-    stars = stars.select(F.col("leader").alias("group_id"), "set_id").distinct()
+    prefixes = docs.mapInArrow(_prefixes(levels, n, percent), "token long, set_id long, packed long")
+    salt = "set_id & (shiftleft(1L, cast(shiftright(packed, 56) as int)) - 1)"
+    with batches_of(spark, 8_192):
+        posts = materialize(
+            prefixes.repartition(F.col("token"), F.expr(salt)).sortWithinPartitions(F.col("token"), F.expr(salt), F.expr(f"packed & {_SIZE}"), F.col("set_id"))
+            .mapInArrow(_stars(percent), "token long, set_id long, size long, place long, leader long, other long, heads_salt boolean, posted boolean"), "stars",
+        )
+    salted = posts.where("heads_salt").select("token", "set_id")
+    heads = salted.groupBy("token").agg(F.min("set_id").alias("group_id"))
+    met = salted.join(heads, "token").where("group_id <> set_id").select("group_id", "set_id")
+    stars = posts.select(F.explode(F.array("leader", "other")).alias("group_id"), "set_id").where("group_id is not null").union(met).distinct()
     stars = materialize(stars, "pairs")
     links = materialize(_verify(docs, first, stars.select("group_id", F.col("group_id").alias("set_id")).distinct(), stars, n, percent), "links")
 
@@ -242,15 +287,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
     parts = parts.join(sizes, "component").select(F.col("node").alias("set_id"), "component", "members", F.xxhash64("component", F.expr(f"pmod(xxhash64(node), ceil(members / {GROUP}))")).alias("group_id"))
     parts = materialize(parts, "groups")
-    own = posts.select("token", "set_id", "size").join(parts, "set_id", "left").select(
-        "token", "set_id", "size", F.coalesce("component", "set_id").alias("component"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("group_id", "set_id").alias("group_id"),
+    own = posts.where("posted").select("token", "set_id", "size", "place").join(parts, "set_id", "left").select(
+        "token", "set_id", "size", "place", F.coalesce("component", "set_id").alias("component"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("group_id", "set_id").alias("group_id"),
     )
     own = own.repartition("token")
     mixed = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     own = materialize(own.join(mixed, "token"), "mixed")
-    matrix = own.groupBy("token", "group_id").agg(F.first("component").alias("g_component"), F.first("members").alias("g_members"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+    matrix = own.groupBy("token", "group_id").agg(F.first("component").alias("g_component"), F.first("members").alias("g_members"), F.min("size").alias("lo"), F.max("size").alias("hi"), F.max(F.col("size") - F.col("place")).alias("rest"))
     asked = own.withColumnRenamed("group_id", "own_group").join(matrix, "token").where(
-        f"(members < g_members or members = g_members and component < g_component) and {percent} * size <= 100 * hi and {percent} * lo <= 100 * size"
+        f"(members < g_members or members = g_members and component < g_component) and {percent} * size <= 100 * hi and {percent} * lo <= 100 * size and "
+        + _reach("size - place", "rest", "size + lo", percent)
     ).select("group_id", "set_id").distinct()
     asked = materialize(asked, "asked")
     in_group = own.select("group_id", "set_id").union(parts.select("group_id", "set_id")).distinct()

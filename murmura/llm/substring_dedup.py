@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import if_small, materialize, prepare, utf8
+from .runtime import materialize, prepare, utf8
 from .words import Spans, WordHashes, mix, windows
 
 #: Words in a gram: short enough for a long winnowing window, long enough to be rare.
@@ -135,10 +135,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.join(several, "anchor", "left").where("count > 1 or several")
     found = materialize(found.select("block", "several", (F.col("count") > 1).alias("repeats"), "one.*"), "blocks")
 
-    whole = anchors.join(if_small(found.where("repeats").select("block")), "block").select("doc_key", "start", "n")
+    whole = anchors.join(found.where("repeats").select("block").hint("shuffle_merge"), "block").select("doc_key", "start", "n")
     open_ = found.where("several").groupBy("doc_key").agg(F.collect_list(F.struct("start", "n", "repeats")).alias("ranges"))
     open_ = materialize(open_, "open")
-    hashes = docs.select("doc_key", "text").join(if_small(open_, 50_000), "doc_key").mapInArrow(_window_hashes(span), "hash long, doc_key long, start int, known boolean")
+    hashes = docs.select("doc_key", "text").join(open_.hint("shuffle_merge"), "doc_key").mapInArrow(_window_hashes(span), "hash long, doc_key long, start int, known boolean")
     # a text that stands in several rows is opened once for each row, with the same windows
     hashes = materialize(hashes.dropDuplicates(["hash", "doc_key", "start"]), "windows")
     twice = hashes.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
