@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, utf8
+from .runtime import prepare, remembered, utf8
 
 _S = r"[\t-\r \x85\xa0  -     　]"
 _NOT = r"[^\t-\r \x85\xa0  -     　\p{L}\p{N}]"
@@ -259,9 +259,8 @@ def merges_of(path: str) -> Merges:
     return Merges(path)
 
 
-@lru_cache(2)
 def _encoder(path: str) -> Encoder:
-    return Encoder(merges_of(path))
+    return remembered(f"bpe {path}", lambda: Encoder(merges_of(path)))
 
 
 def encode_text(path: str, text: str) -> bytes:

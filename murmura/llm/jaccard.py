@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import batches_of, connected_components, if_small, materialize, prepare, utf8
-from .words import WordHashes, mix, windows
+from .words import mix, windows, word_hashes
 
 #: Buckets of the token sketch, in slices: 4 bytes each, whatever the corpus.
 SKETCH_BITS, SLICES = 20, 16
@@ -35,15 +35,13 @@ GROUP, QUERIES = 64, 20_000
 #: Set names that a task remembers to skip copies.
 _SEEN = 200_000
 
-_hashes = WordHashes()
-
 
 def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles of a text with A-Z in lower case; a shorter text is one shingle."""
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    return np.unique(mix(windows(h := _hashes.of(words), min(n, len(h))) + np.uint64(min(n, len(h)))))
+    return np.unique(mix(windows(h := word_hashes(words), min(n, len(h))) + np.uint64(min(n, len(h)))))
 
 
 def _name(tokens: np.ndarray) -> int:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, utf8
+from .runtime import prepare, remembered, utf8
 
 #: Hash buckets of character grams.
 BUCKETS = 1 << 15  # the 15 highest bits of a hash
@@ -173,14 +173,8 @@ class Scores(dict):
         return rows
 
 
-_scores: dict[str, Scores] = {}
-
-
 def _scorer(model: Model) -> Scores:
-    if model.name not in _scores:
-        _scores.clear()
-        _scores[model.name] = Scores(model)
-    return _scores[model.name]
+    return remembered(f"language {model.name}", lambda: Scores(model))
 
 
 def constant(scores: np.ndarray, penalty: float) -> int | None:

@@ -12,19 +12,18 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize, prepare, utf8
+from .runtime import materialize, prepare, remembered, utf8
 
 #: Pieces of one length that are ranked in one group, on average.
 RANKED = 50_000
 #: Chunks between white space that a worker remembers.
-_MEMORY = 1_000_000
+_MEMORY = 400_000
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -230,9 +229,8 @@ class Chunks(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@lru_cache(1)
 def _chunks(path: str) -> Chunks:
-    return Chunks(path)
+    return remembered(f"packing {path}", lambda: Chunks(path))
 
 
 def _tokenize(path: str, capacity: int, end: int):

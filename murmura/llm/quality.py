@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import prepare, utf8
-from .words import WordHashes, mix, windows
+from .words import mix, windows, word_hashes
 
 #: Bytes that a word can't have, symbols, and all bytes but a code point's first.
 _SPACE, _SYMBOLS, _INNER = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(0x80, 0xC0))
@@ -27,8 +27,6 @@ _SIZES = (6, 4, 4, 3, 2, 2, 4, 2, 3)
 _FIRST = np.concatenate([[0], np.cumsum(_SIZES)])
 FEATURES = int(_FIRST[-1])
 
-_hashes = WordHashes()
-
 
 def _step(x: float, *bounds: float) -> int:
     return sum(x >= b for b in bounds)
@@ -66,7 +64,7 @@ def describe(text: bytes) -> tuple[int, int, int, int, int]:
             seen.add(line)
     repeated = 0
     if len(words) >= 3:
-        three = mix(windows(_hashes.of(words), 3))
+        three = mix(windows(word_hashes(words), 3))
         _, at, counts = np.unique(three, return_inverse=True, return_counts=True)
         twice = counts[at] > 1
         covered = np.zeros(len(words), bool)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,18 @@ BROADCAST_ROWS = 300_000
 #: Rows in an Arrow batch: texts may be long, so batches are kept short.
 BATCH_ROWS = 512
 
+T = TypeVar("T")
+_memory: dict[str, object] = {}
+
+
+def remembered(owner: str, make: Callable[[], T]) -> T:
+    """What a Python worker remembers for one owner. Workers are used again, so another owner's memory is given up first."""
+    if owner not in _memory:
+        _memory.clear()
+        pa.default_memory_pool().release_unused()
+        _memory[owner] = make()
+    return _memory[owner]
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""

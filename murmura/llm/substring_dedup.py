@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import materialize, prepare, utf8
-from .words import Spans, WordHashes, mix, windows
+from .words import Spans, mix, windows, word_hashes
 
 #: Words in a gram: short enough for a long winnowing window, long enough to be rare.
 GRAM = 8
 
-_hashes, _spans = WordHashes(), Spans()
+_spans = Spans()
 
 
 def blocks(h: np.ndarray, span: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,7 +46,7 @@ def blocks(h: np.ndarray, span: int, gram: int = GRAM) -> tuple[np.ndarray, np.n
 
 
 def _words(text: bytes | None) -> np.ndarray:
-    return _hashes.of((text or b"").split())
+    return word_hashes((text or b"").split())
 
 
 def _described(text: bytes | None, span: int) -> tuple[np.ndarray, ...] | None:

@@ -14,7 +14,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import prepare, utf8
+from .runtime import prepare, remembered, utf8
 
 _MEMORY = 1_000_000
 
@@ -100,9 +100,8 @@ class Counts(dict):
         return len(words), sum(map(self.__getitem__, words))
 
 
-@lru_cache(2)
 def _counts(path: str) -> Counts:
-    return Counts(byte_level(path))
+    return remembered(f"token counts {path}", lambda: Counts(byte_level(path)))
 
 
 def _count(path: str, text_col: str, keep: tuple[str, ...]):

@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .runtime import remembered
+
 #: Odd multiplier of the polynomials, its inverse modulo 2**64, and the multipliers of the final mixer.
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -30,6 +32,11 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of words, from the memory that a worker shares among operators."""
+    return remembered("word hashes", WordHashes).of(words)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits, one to one."""
     x = x ^ (x >> _S)
