@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import matching, reports, scalars
+from . import knowledge, matching, reports, scalars
 from .registry import ORACLE_SQL, QUERIES, Query
 
-__all__ = ["matching", "reports", "scalars", "queries", "oracle_sql"]
+__all__ = ["knowledge", "matching", "reports", "scalars", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Query]:
