@@ -126,8 +126,9 @@ def _stars(percent: int):
         fits = 100 * np.minimum(size, other_size) >= percent * np.maximum(size, other_size)
         return fits & (np.minimum(rest, other_rest) * (100 + percent) >= percent * (size + other_size))
 
-    def describe(rows: np.ndarray, lead: np.ndarray | None, before: np.ndarray | None) -> pa.RecordBatch:
-        """rows: (token, set, packed) by column, of whole tokens, or the next ones of the token that lead and before are of."""
+    def describe(rows: np.ndarray, lead: np.ndarray | None, before: np.ndarray | None, goes_on: bool = False) -> pa.RecordBatch:
+        """rows: (token, set, packed) by column, of whole tokens, or the next ones of the token that lead and before are of.
+        goes_on: rows are of one token, and more of it may come."""
         token, name, packed = rows
         size, place, splits = packed & _SIZE, packed >> 28 & _PLACE, packed >> 56
         salt = name & ((1 << splits) - 1)
@@ -151,7 +152,7 @@ def _stars(percent: int):
             columns.append((n, ok))
         run = np.cumsum(head)
         total = np.bincount(run, minlength=run[-1] + 1 if len(run) else 1)[run] if len(run) else run
-        total = np.where(run == 0, _WAIT, total)  # run 0 goes on from rows before
+        total = np.where((run == 0) | goes_on, _WAIT, total)  # run 0 goes on from rows before
         (leader, star), (other, chain) = columns
         chain &= leader != other
         posted = (total > 2) | (splits > 0)
@@ -178,7 +179,7 @@ def _stars(percent: int):
                 lead = before = None
             waiting = rows[:, cut:]
             if waiting.shape[1] > _WAIT or lead is not None:
-                yield describe(waiting, lead, before)
+                yield describe(waiting, lead, before, goes_on=True)
                 lead, before, waiting = waiting[:, 0] if lead is None else lead, waiting[:, -1], waiting[:, :0]
         if waiting.shape[1]:
             yield describe(waiting, None, None)
