@@ -80,14 +80,26 @@ _EVENTS = """events_of AS (
   UNION ALL SELECT user_name, NULL, 'sample ' || campaign_id, 4 FROM (SELECT DISTINCT user_name, campaign_id FROM showcase WHERE sample_status = 'F' AND campaign_id % 10 = 1)
 )"""
 
+#: Every keyword event and every sample, without the samples of ids above.
+_ALL_EVENTS = """events_of AS (
+  SELECT creator_name AS creator, create_time AS dt, 'reply ' || id AS text, 1 AS source_no FROM audit_log
+  UNION ALL SELECT creator_name, create_time, 'keyword ' || key_words || ' ' || id, 2 FROM keyword_log
+  UNION ALL SELECT user_name, start_time, 'showcase ' || campaign_id || '/' || product_id, 3 FROM (SELECT DISTINCT user_name, start_time, campaign_id, product_id FROM showcase WHERE status = 'R')
+  UNION ALL SELECT user_name, NULL, 'sample ' || campaign_id, 4 FROM (SELECT DISTINCT user_name, campaign_id FROM showcase WHERE sample_status = 'F')
+)"""
 
-def _events(spark: SparkSession, d: str) -> list[DataFrame]:
+
+def _events(spark: SparkSession, d: str, some: bool = True) -> list[DataFrame]:
+    """Events of four sources; some leaves out what the SQL of history_timeline and history_text leaves out by id."""
     audit, keys, show = T.audit_log(spark, d), T.keyword_log(spark, d), T.showcase(spark, d)
+    samples = show.where("sample_status = 'F'")
+    if some:
+        keys, samples = keys.where("key_words = 'purchase' or id % 10 = 0"), samples.where("campaign_id % 10 = 1")
     return [
         audit.select(F.col("creator_name").alias("creator"), F.col("create_time").alias("dt"), F.concat(F.lit("reply "), "id").alias("text"), F.lit(1).alias("source_no")),
-        keys.where("key_words = 'purchase' or id % 10 = 0").select(F.col("creator_name").alias("creator"), F.col("create_time").alias("dt"), F.concat(F.lit("keyword "), "key_words", F.lit(" "), "id").alias("text"), F.lit(2).alias("source_no")),
+        keys.select(F.col("creator_name").alias("creator"), F.col("create_time").alias("dt"), F.concat(F.lit("keyword "), "key_words", F.lit(" "), "id").alias("text"), F.lit(2).alias("source_no")),
         show.where("status = 'R'").select("user_name", "start_time", "campaign_id", "product_id").distinct().select(F.col("user_name").alias("creator"), F.col("start_time").alias("dt"), F.concat(F.lit("showcase "), "campaign_id", F.lit("/"), "product_id").alias("text"), F.lit(3).alias("source_no")),
-        show.where("sample_status = 'F' and campaign_id % 10 = 1").select("user_name", "campaign_id").distinct().select(F.col("user_name").alias("creator"), F.lit(None).cast("timestamp").alias("dt"), F.concat(F.lit("sample "), "campaign_id").alias("text"), F.lit(4).alias("source_no")),
+        samples.select("user_name", "campaign_id").distinct().select(F.col("user_name").alias("creator"), F.lit(None).cast("timestamp").alias("dt"), F.concat(F.lit("sample "), "campaign_id").alias("text"), F.lit(4).alias("source_no")),
     ]
 
 
@@ -103,6 +115,18 @@ def history_text(spark: SparkSession, d: str) -> DataFrame:
     return R.joined_lines(R.timeline(*_events(spark, d)), ["creator"], "position", F.col("text"), "history")
 
 
+@query(with_tables("messages audit_log keyword_log showcase", _ALL_EVENTS + " SELECT creator, dt, text, source_no, row_number() OVER (PARTITION BY creator ORDER BY dt NULLS LAST, source_no, text) AS position FROM events_of"))
+def history_timeline_all(spark: SparkSession, d: str) -> DataFrame:
+    return R.timeline(*_events(spark, d, some=False)).withColumn("position", F.col("position").cast("long"))
+
+
+@query(with_tables("messages audit_log keyword_log showcase", _ALL_EVENTS + """, placed AS (
+  SELECT creator, text, row_number() OVER (PARTITION BY creator ORDER BY dt NULLS LAST, source_no, text) AS position FROM events_of
+) SELECT creator, string_agg(text, chr(10) ORDER BY position) AS history FROM placed GROUP BY creator"""))
+def history_text_all(spark: SparkSession, d: str) -> DataFrame:
+    return R.joined_lines(R.timeline(*_events(spark, d, some=False)), ["creator"], "position", F.col("text"), "history")
+
+
 @query(with_tables("showcase product_map", """videos AS (SELECT DISTINCT user_name, campaign_id FROM showcase WHERE status = 'N'), seen AS (SELECT user_name, campaign_id, product_id, start_time FROM showcase WHERE status = 'A')
 SELECT v.user_name, v.campaign_id, s.product_id, min(s.start_time) AS first_time, count(*) AS n, min(coalesce(m.short_name, CAST(s.product_id AS VARCHAR))) AS product
 FROM videos v JOIN seen s ON v.user_name = s.user_name AND v.campaign_id = s.campaign_id LEFT JOIN product_map m ON m.campaign_id = s.product_id GROUP BY 1, 2, 3"""))
