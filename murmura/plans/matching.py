@@ -148,9 +148,21 @@ def index_refresh(spark: SparkSession, d: str) -> DataFrame:
 changes AS (SELECT user_id, max_by(event_type, event_id) AS event_type, round(max_by(value, event_id), 4) AS value FROM events WHERE event_id % 6 = 1 GROUP BY user_id)
 SELECT coalesce(s.user_id, c.user_id) AS user_id, CASE WHEN c.user_id IS NULL THEN s.event_type ELSE c.event_type END AS event_type, CASE WHEN c.user_id IS NULL THEN s.value ELSE c.value END AS value FROM state s FULL JOIN changes c ON s.user_id = c.user_id""")
 def state_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return _upserted(spark, d, "event_id % 6 = 1")
+
+
+def _upserted(spark: SparkSession, d: str, changes: str) -> DataFrame:
     events = T.table(spark, d, "events").select("user_id", "event_id", "event_type", F.round("value", 4).alias("value"))
     state = events.where("event_id % 2 = 0").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max_by("value", "event_id").alias("value"))
-    return V.upserted(state, events.where("event_id % 6 = 1"), ["user_id"], "event_id")
+    return V.upserted(state, events.where(changes), ["user_id"], "event_id")
+
+
+@query("""WITH state AS (SELECT user_id, max_by(event_type, event_id) AS event_type, round(max_by(value, event_id), 4) AS value FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
+changes AS (SELECT user_id, max_by(event_type, event_id) AS event_type, round(max_by(value, event_id), 4) AS value FROM events WHERE event_id % 2 <> 0 GROUP BY user_id)
+SELECT coalesce(s.user_id, c.user_id) AS user_id, CASE WHEN c.user_id IS NULL THEN s.event_type ELSE c.event_type END AS event_type, CASE WHEN c.user_id IS NULL THEN s.value ELSE c.value END AS value FROM state s FULL JOIN changes c ON s.user_id = c.user_id""")
+def state_upsert_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every event is in the state (even ids) or a change (odd ids)."""
+    return _upserted(spark, d, "event_id % 2 <> 0")
 
 
 @query("""WITH records AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' ' || upper(p_brand) WHEN 1 THEN p_brand ELSE 'nickname ' || (p_partkey % 9) END AS raw FROM part),
@@ -201,8 +213,18 @@ def incremental_plan(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH changes AS (SELECT 'p' || (l_partkey % 97) AS path, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'deleted' ELSE 'modified' END AS op FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 9 = 1)
 SELECT path, count(DISTINCT op) AS ops FROM changes GROUP BY path HAVING count(DISTINCT op) > 1""")
 def overlapping_changes(spark: SparkSession, d: str) -> DataFrame:
+    return _overlapping(T.table(spark, d, "lineitem").where("l_linenumber = 1 and l_suppkey % 9 = 1"))
+
+
+@query("""WITH changes AS (SELECT 'p' || (l_partkey % 97) AS path, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'deleted' ELSE 'modified' END AS op FROM lineitem)
+SELECT path, count(DISTINCT op) AS ops FROM changes GROUP BY path HAVING count(DISTINCT op) > 1""")
+def overlapping_changes_all(spark: SparkSession, d: str) -> DataFrame:
+    return _overlapping(T.table(spark, d, "lineitem"))
+
+
+def _overlapping(lines: DataFrame) -> DataFrame:
     op = F.when(F.col("l_returnflag") == "A", "added").when(F.col("l_returnflag") == "R", "deleted").otherwise("modified")
-    rows = T.table(spark, d, "lineitem").where("l_linenumber = 1 and l_suppkey % 9 = 1").select(F.concat(F.lit("p"), F.col("l_partkey") % 97).alias("path"), op.alias("op"))
+    rows = lines.select(F.concat(F.lit("p"), F.col("l_partkey") % 97).alias("path"), op.alias("op"))
     return rows.groupBy("path").agg(F.countDistinct("op").alias("ops")).where("ops > 1")
 
 
