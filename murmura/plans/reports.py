@@ -55,8 +55,17 @@ _SHOWCASE = """shown AS (
 
 @query(with_tables("showcase creators", _SHOWCASE + " SELECT s.user_name, s.campaign_id, s.is_open, s.n, s.gmv, s.products, c.gmv AS creator_gmv, c.segment FROM shown s LEFT JOIN creators c ON lower(trim(c.creators_name)) = s.user_name"))
 def showcase_enrich(spark: SparkSession, d: str) -> DataFrame:
+    return _showcase_enrich(spark, d, T.creators(spark, d))
+
+
+@query(with_tables("showcase all_creators", _SHOWCASE + " SELECT s.user_name, s.campaign_id, s.is_open, s.n, s.gmv, s.products, c.gmv AS creator_gmv, c.segment FROM shown s LEFT JOIN all_creators c ON lower(trim(c.creators_name)) = s.user_name"))
+def showcase_enrich_all(spark: SparkSession, d: str) -> DataFrame:
+    return _showcase_enrich(spark, d, T.all_creators(spark, d))
+
+
+def _showcase_enrich(spark: SparkSession, d: str, creators: DataFrame) -> DataFrame:
     shown = R.enriched_showcase(T.showcase(spark, d))
-    dim = T.creators(spark, d).select(R.same_name("creators_name").alias("user_name"), F.col("gmv").alias("creator_gmv"), "segment")
+    dim = creators.select(R.same_name("creators_name").alias("user_name"), F.col("gmv").alias("creator_gmv"), "segment")
     return shown.join(dim, "user_name", "left").select("user_name", "campaign_id", "is_open", "n", "gmv", "products", "creator_gmv", "segment")
 
 
@@ -68,7 +77,17 @@ def creator_union(spark: SparkSession, d: str) -> DataFrame:
 @query(with_tables("messages audit_log creators", """SELECT a.creator_name, count(*) AS n, max(create_time) AS latest FROM audit_log a
 WHERE NOT EXISTS (SELECT 1 FROM creators c WHERE lower(trim(c.creators_name)) = lower(trim(a.creator_name))) GROUP BY 1"""))
 def missing_dim(spark: SparkSession, d: str) -> DataFrame:
-    dim = T.creators(spark, d).select(R.same_name("creators_name").alias("k"))
+    return _missing_dim(spark, d, T.creators(spark, d))
+
+
+@query(with_tables("messages audit_log all_creators", """SELECT a.creator_name, count(*) AS n, max(create_time) AS latest FROM audit_log a
+WHERE NOT EXISTS (SELECT 1 FROM all_creators c WHERE lower(trim(c.creators_name)) = lower(trim(a.creator_name))) GROUP BY 1"""))
+def missing_dim_all(spark: SparkSession, d: str) -> DataFrame:
+    return _missing_dim(spark, d, T.all_creators(spark, d))
+
+
+def _missing_dim(spark: SparkSession, d: str, creators: DataFrame) -> DataFrame:
+    dim = creators.select(R.same_name("creators_name").alias("k"))
     rows = T.audit_log(spark, d).withColumn("k", R.same_name("creator_name"))
     return rows.join(dim, "k", "left_anti").groupBy("creator_name").agg(F.count("*").alias("n"), F.max("create_time").alias("latest"))
 
@@ -131,10 +150,21 @@ def history_text_all(spark: SparkSession, d: str) -> DataFrame:
 SELECT v.user_name, v.campaign_id, s.product_id, min(s.start_time) AS first_time, count(*) AS n, min(coalesce(m.short_name, CAST(s.product_id AS VARCHAR))) AS product
 FROM videos v JOIN seen s ON v.user_name = s.user_name AND v.campaign_id = s.campaign_id LEFT JOIN product_map m ON m.campaign_id = s.product_id GROUP BY 1, 2, 3"""))
 def tap_video_join(spark: SparkSession, d: str) -> DataFrame:
+    return _tap_video_join(spark, d, T.product_map(spark, d))
+
+
+@query(with_tables("showcase all_products", """videos AS (SELECT DISTINCT user_name, campaign_id FROM showcase WHERE status = 'N'), seen AS (SELECT user_name, campaign_id, product_id, start_time FROM showcase WHERE status = 'A')
+SELECT v.user_name, v.campaign_id, s.product_id, min(s.start_time) AS first_time, count(*) AS n, min(coalesce(m.short_name, CAST(s.product_id AS VARCHAR))) AS product
+FROM videos v JOIN seen s ON v.user_name = s.user_name AND v.campaign_id = s.campaign_id LEFT JOIN all_products m ON m.campaign_id = s.product_id GROUP BY 1, 2, 3"""))
+def tap_video_join_all(spark: SparkSession, d: str) -> DataFrame:
+    return _tap_video_join(spark, d, T.all_products(spark, d))
+
+
+def _tap_video_join(spark: SparkSession, d: str, product_map: DataFrame) -> DataFrame:
     show = T.showcase(spark, d)
     videos = show.where("status = 'N'").select("user_name", "campaign_id").distinct()
     seen = show.where("status = 'A'").select("user_name", "campaign_id", "product_id", "start_time")
-    names = T.product_map(spark, d).select(F.col("campaign_id").alias("product_id"), "short_name")
+    names = product_map.select(F.col("campaign_id").alias("product_id"), "short_name")
     rows = videos.join(seen, ["user_name", "campaign_id"]).join(names, "product_id", "left")
     return rows.groupBy("user_name", "campaign_id", "product_id").agg(F.min("start_time").alias("first_time"), F.count("*").alias("n"), F.min(F.coalesce("short_name", F.col("product_id").cast("string"))).alias("product"))
 
@@ -142,8 +172,18 @@ def tap_video_join(spark: SparkSession, d: str) -> DataFrame:
 @query(with_tables("showcase product_map", """SELECT s.user_name, s.campaign_id, coalesce(m.short_name, 'campaign ' || s.campaign_id) AS product, count(*) AS n
 FROM showcase s LEFT JOIN product_map m ON m.campaign_id = s.campaign_id GROUP BY 1, 2, 3"""))
 def product_map_left(spark: SparkSession, d: str) -> DataFrame:
+    return _product_map_left(spark, d, T.product_map(spark, d))
+
+
+@query(with_tables("showcase all_products", """SELECT s.user_name, s.campaign_id, coalesce(m.short_name, 'campaign ' || s.campaign_id) AS product, count(*) AS n
+FROM showcase s LEFT JOIN all_products m ON m.campaign_id = s.campaign_id GROUP BY 1, 2, 3"""))
+def product_map_left_all(spark: SparkSession, d: str) -> DataFrame:
+    return _product_map_left(spark, d, T.all_products(spark, d))
+
+
+def _product_map_left(spark: SparkSession, d: str, product_map: DataFrame) -> DataFrame:
     rows = T.showcase(spark, d).groupBy("user_name", "campaign_id").agg(F.count("*").alias("n"))  # fewer rows before the join
-    return rows.join(T.product_map(spark, d), "campaign_id", "left").select("user_name", "campaign_id", F.coalesce("short_name", F.concat(F.lit("campaign "), "campaign_id")).alias("product"), "n")
+    return rows.join(product_map, "campaign_id", "left").select("user_name", "campaign_id", F.coalesce("short_name", F.concat(F.lit("campaign "), "campaign_id")).alias("product"), "n")
 
 
 @query(with_tables("messages audit_log", r"""keyed AS (

@@ -61,8 +61,13 @@ def showcase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products of every third campaign only, as the SQL has them."""
+    return all_products(spark, sf_dir, "p_partkey % 3 = 0")
+
+
+def all_products(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """(campaign_id, short_name), one row for each campaign."""
-    return table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("campaign_id"), F.col("p_name").alias("short_name"))
+    return table(spark, sf_dir, "part").where(where).select(F.col("p_partkey").alias("campaign_id"), F.col("p_name").alias("short_name"))
 
 
 #: The same tables for DuckDB.
@@ -76,6 +81,7 @@ SQL = {
     "showcase": """SELECT 'creator_' || (o_custkey % 37) AS user_name, l_suppkey AS campaign_id, l_partkey AS product_id, l_returnflag AS status,
         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS gmv, o_orderdate AS start_time, l_linestatus AS sample_status FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "product_map": "SELECT p_partkey AS campaign_id, p_name AS short_name FROM part WHERE p_partkey % 3 = 0",
+    "all_products": "SELECT p_partkey AS campaign_id, p_name AS short_name FROM part",
 }
 
 

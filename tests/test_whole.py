@@ -40,3 +40,16 @@ def test_every_row_is_on_one_side(spark):
     shown = [owners[r.l_orderkey] for r in lines if r.l_orderkey in owners]
     rows = queries()["shop_rows_all"](spark, DATA).collect()
     assert rows and all(r.n == shown.count(int(r.creator_name.split("_")[1])) for r in rows)
+
+
+def test_every_dimension_row_is_met(spark):
+    known = {f"creator_{r.c_custkey}": str(r.c_acctbal) for r in table(spark, "customer").collect()}
+    rows = queries()["showcase_enrich_all"](spark, DATA).collect()
+    assert {r.user_name for r in rows if r.creator_gmv is None} == {r.user_name for r in rows} - known.keys()
+    talked = {f"creator_{r.conv_id % 37}" for r in table(spark, "conversations").select("conv_id").collect()}
+    assert {r.creator_name for r in queries()["missing_dim_all"](spark, DATA).collect()} == talked - known.keys()
+    names = {r.p_partkey: r.p_name for r in table(spark, "part").collect()}
+    rows = queries()["product_map_left_all"](spark, DATA).collect()
+    assert rows and all(r["product"] == names.get(r.campaign_id, f"campaign {r.campaign_id}") for r in rows)
+    rows = queries()["tap_video_join_all"](spark, DATA).collect()
+    assert rows and all(r["product"] == names.get(r.product_id, str(r.product_id)) for r in rows)
