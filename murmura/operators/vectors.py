@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine, in double; null if either has no length."""
@@ -17,10 +21,25 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, most_queries: int = 10
     """(query_id, vec_id, distance, rank) of the k nearest rows of index (vec_id, embedding, ...) for a stated set of queries
     (query_id, vector), by (distance to six decimals, vec_id).
 
-    The queries are broadcast, as long as they are few; each partition keeps k rows a query before rows are shuffled.
+    The queries are broadcast; each partition keeps k rows a query before rows are shuffled. More than most_queries are dealt
+    by hash into blocks of about half as many, which are searched one after another, each result written to the checkpoint folder.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"over {most_queries} queries: ask in blocks")
+    total = queries.count()
+    if total <= most_queries:
+        return _nearest(index, queries, k)
+    spark = index.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/murmura-nearest-{uuid.uuid4().hex}"
+    blocks = -(-2 * total // most_queries)
+    dealt = queries.select("query_id", "vector").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    dealt.repartition("block").write.partitionBy("block").parquet(f"{folder}/queries")
+    dealt = spark.read.schema(dealt.schema).parquet(f"{folder}/queries")
+    for n in range(blocks):
+        found = _nearest(index, dealt.where(F.col("block") == n).drop("block"), k)
+        found.write.parquet(f"{folder}/found/block={n}")
+    return spark.read.schema(found.schema).parquet(*[f"{folder}/found/block={n}" for n in range(blocks)])
+
+
+def _nearest(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     pairs = index.join(F.broadcast(queries), F.size("embedding") == F.size("vector"))
     rows = pairs.select("query_id", "vec_id", (F.round(cosine_distance(F.col("embedding"), F.col("vector")), 6) + 0.0).alias("distance"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))  # Spark limits each partition first
