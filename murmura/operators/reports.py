@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 
 def present(c: str | Column) -> Column:
     """Not null and not blank."""
@@ -48,13 +52,38 @@ def keep_first(df: DataFrame, keys: list[str | Column], order: list[str | Column
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """The place of each row in its key from 1; order must decide ties.
+
+    Rows are dealt by range of (keys, order), so that a hot key takes as many tasks as its rows need. A part numbers its own
+    rows of a key; what the parts before it hold of that key is added. The parts are cut in the checkpoint folder.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/murmura-numbered-{uuid.uuid4().hex}"
+    parts = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order).withColumn("__part", F.spark_partition_id())
+    parts.write.parquet(path)
+    parts = spark.read.schema(parts.schema).parquet(path)
+    sizes = parts.groupBy("__part", *keys).agg(F.count("*").alias("__n"))  # few rows: a key is in neighbouring parts
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.coalesce(before, F.lit(0)).alias("__before"))
+    own = parts.withColumn("__own", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order)))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    return own.join(sizes, same).select(*df.columns, (F.col("__own") + F.col("__before")).alias(name))
+
+
 def timeline(*events: DataFrame) -> DataFrame:
     """(creator, dt, text, position) of events (creator, dt, text, source_no), by time with unknown times last, stable by source."""
     rows = events[0]
     for e in events[1:]:
         rows = rows.unionByName(e)
-    order = Window.partitionBy("creator").orderBy(F.col("dt").asc_nulls_last(), "source_no", "text")
-    return rows.withColumn("position", F.row_number().over(order))
+    return numbered(rows, ["creator"], [F.col("dt").asc_nulls_last(), F.col("source_no").asc(), F.col("text").asc()], "position")
+
+
+def chunked_lines(df: DataFrame, keys: list[str], position: str, line: Column, size: int, name: str = "text") -> DataFrame:
+    """Lines of each key in chunks of so many, from 0: (keys, chunk, name). However long a key is, a row is not."""
+    return joined_lines(df.withColumn("chunk", F.floor((F.col(position) - 1) / size).cast("long")), [*keys, "chunk"], position, line, name)
 
 
 def joined_lines(df: DataFrame, keys: list[str], order: str, line: Column, name: str = "text") -> DataFrame:
@@ -71,7 +100,7 @@ def participants(messages: DataFrame) -> DataFrame:
 
 def paged(df: DataFrame, keys: list[str], order: list[Column], size: int) -> DataFrame:
     """part from 0 of so many rows each within every key."""
-    return df.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size).cast("long"))
+    return numbered(df, keys, order, "part").withColumn("part", F.floor((F.col("part") - 1) / size).cast("long"))
 
 
 def latest(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

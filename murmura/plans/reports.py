@@ -146,6 +146,14 @@ def history_text_all(spark: SparkSession, d: str) -> DataFrame:
     return R.joined_lines(R.timeline(*_events(spark, d, some=False)), ["creator"], "position", F.col("text"), "history")
 
 
+@query(with_tables("messages audit_log keyword_log showcase", _ALL_EVENTS + """, placed AS (
+  SELECT creator, text, row_number() OVER (PARTITION BY creator ORDER BY dt NULLS LAST, source_no, text) AS position FROM events_of
+) SELECT creator, (position - 1) // 100 AS chunk, string_agg(text, chr(10) ORDER BY position) AS history FROM placed GROUP BY 1, 2"""))
+def history_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The whole histories in rows of 100 events, as a creator's may be too long for one row."""
+    return R.chunked_lines(R.timeline(*_events(spark, d, some=False)), ["creator"], "position", F.col("text"), 100, "history")
+
+
 @query(with_tables("showcase product_map", """videos AS (SELECT DISTINCT user_name, campaign_id FROM showcase WHERE status = 'N'), seen AS (SELECT user_name, campaign_id, product_id, start_time FROM showcase WHERE status = 'A')
 SELECT v.user_name, v.campaign_id, s.product_id, min(s.start_time) AS first_time, count(*) AS n, min(coalesce(m.short_name, CAST(s.product_id AS VARCHAR))) AS product
 FROM videos v JOIN seen s ON v.user_name = s.user_name AND v.campaign_id = s.campaign_id LEFT JOIN product_map m ON m.campaign_id = s.product_id GROUP BY 1, 2, 3"""))
