@@ -23,6 +23,8 @@ from .runtime import prepare, remembered, utf8
 BUCKETS = 1 << 15  # the 15 highest bits of a hash
 #: A language is a candidate for a script that has this share of its letters.
 SCRIPT_SHARE = 0.01
+#: Rows of each language that are learned from at least, if it has them; and the steps of a language's share of rows.
+LEAST_DOCS, _FINE = 20, 1_000_000_000_000
 #: Words that a worker remembers.
 _MEMORY = 400_000
 
@@ -109,16 +111,30 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["lang", "counts"])
 
 
+def sample_shares(counts: dict[str, int], sample_docs: int) -> dict[str, float]:
+    """The share of each language's rows to learn from: the same number of each, or all, so that about sample_docs are taken."""
+    left, each = sample_docs, 0.0
+    for i, n in enumerate(rising := sorted(counts.values())):
+        each = max(left / (len(rising) - i), LEAST_DOCS)
+        if n > each:
+            break
+        left -= n
+    return {k: min(1.0, each / n) for k, n in counts.items()} if rising and rising[-1] > each else dict.fromkeys(counts, 1.0)
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 4_000) -> Model:
     """A model of the languages in lang_col, from about sample_docs rows of docs (all if there are fewer), chosen by a hash of the id.
 
-    Rows with a null text or language teach nothing. What the driver receives is one array of fixed size for each language.
+    The sample is taken by language: all rows of a rare one, equal numbers of the others, and no fewer than LEAST_DOCS (so
+    more than sample_docs in all if there are very many languages). The language seen most is that of all rows, not of the
+    sample. Rows with a null text or language teach nothing. What the driver receives is one array of fixed size for each language.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    total = docs.where(F.col(lang_col).isNotNull()).count()
-    share = min(1.0, sample_docs / max(total, 1))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) or 1))
+    shares = sample_shares({r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}, sample_docs)
+    if min(shares.values(), default=1.0) < 1.0:
+        most = docs.sparkSession.createDataFrame([(k, int(v * _FINE) or 1) for k, v in shares.items()], "own_lang string, most long")
+        rows = rows.join(F.broadcast(most), F.col("lang") == F.col("own_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(_FINE)) < F.col("most"))
     schema = "lang string, counts binary"
     parts = rows.select("lang", "text").mapInArrow(_count, schema)
     found = sorted((r.lang, np.frombuffer(r.counts)) for r in parts.repartition(16).mapInArrow(_add, schema).repartition(1).mapInArrow(_add, schema).collect())
@@ -128,7 +144,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     grams = np.array([x[:BUCKETS] for _, x in found])
     letters = np.array([x[BUCKETS:] for _, x in found])
     weights = np.log((grams + 0.5) / (grams.sum(1, keepdims=True) + 0.5 * BUCKETS))
-    return Model(langs, weights.astype(np.float32), (letters >= SCRIPT_SHARE * np.maximum(letters.sum(1, keepdims=True), 1)).T, int(letters.sum(1).argmax()))
+    return Model(langs, weights.astype(np.float32), (letters >= SCRIPT_SHARE * np.maximum(letters.sum(1, keepdims=True), 1)).T, int((letters.sum(1) / [shares[k] for k in langs]).argmax()))
 
 
 class Scores(dict):

@@ -139,3 +139,19 @@ def test_quality_learns_and_handles_awkward_rows(spark, awkward, no_rows):
     assert quality.quality(no_rows, crf).collect() == []
     untrained = quality.train(no_rows, labels.limit(0))
     assert quality.quality(docs, untrained).count() == 150
+
+
+def test_rare_languages_are_learned(spark):
+    common = spark.range(6_000).selectExpr("id doc_id", "if(id % 3 = 0, 'the house by the river', 'old garden of the town') text", "'en' lang")
+    rare = spark.createDataFrame([(10_000 + i, "αβγ δεζ ηθι", "el") for i in range(3)], "doc_id long, text string, lang string")
+    model = language.train(common.union(rare), sample_docs=300)
+    assert model.langs == ["el", "en"] and model.prior == 1
+    found = language.identify(rare, model).collect()
+    assert [(r.lang_pred, r.score) for r in found] == [("el", 1.0)] * 3
+
+
+def test_sample_shares():
+    assert language.sample_shares({}, 10) == {}
+    assert language.sample_shares({"a": 400, "b": 500}, 1_000) == {"a": 1.0, "b": 1.0}
+    assert language.sample_shares({"a": 10_000, "b": 100, "c": 4_500}, 1_000) == {"a": 0.045, "b": 1.0, "c": 0.1}
+    assert language.sample_shares({str(i): 2_000 for i in range(1_000)}, 1_000) == {str(i): 0.01 for i in range(1_000)}
