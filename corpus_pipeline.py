@@ -50,13 +50,21 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates stays, once; documents with a null id all stay."""
-    groups = materialize(jaccard_components(docs, n=5, percent=75), "components")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(if_small(materialize(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    """The document with the least id of each group of near duplicates stays, once; documents with a null id all stay.
+
+    Rows are told apart by id and text, as an id may stand on several texts.
+    """
+    groups = materialize(jaccard_components(docs, n=5, percent=75, tell_texts=True), "components")
+    gone, heads = groups.where("doc_id <> component_id").select("doc_id", "text_id"), groups.where("doc_id = component_id")
+    repeated = heads.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if repeated:  # of several texts of one id that head the same group, the one with the least hash stays
+        least = heads.where("component is not null").groupBy("component").agg(F.min("text_id").alias("least"))
+        gone = gone.union(heads.join(least, "component").where("text_id <> least").select("doc_id", "text_id"))
+    gone = if_small(materialize(gone.distinct().toDF("__id", "__text_id"), "gone"))
+    left = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__text_id")), "left_anti").select(*docs.columns)
     if repeated:  # only then are texts shuffled; null ids are told apart by a random number
-        left = left.withColumn("__one", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", "__one"]).drop("__one")
+        left = left.withColumns({"__one": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()), "__text": F.xxhash64("text")})
+        left = left.dropDuplicates(["doc_id", "__text", "__one"]).drop("__text", "__one")
     return left
 
 

@@ -48,7 +48,7 @@ def _name(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 1
 
 
-def _describe(n: int):
+def _describe(n: int, keep: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
@@ -61,10 +61,10 @@ def _describe(n: int):
             if found:
                 sketch += np.bincount(np.concatenate(found) >> np.uint64(64 - SKETCH_BITS), minlength=len(sketch)).astype(np.uint32)
             none = pa.nulls(len(sizes))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n_shingles", "set_id", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), *(batch[c] for c in keep)], ["doc_id", "n_shingles", "set_id", "slice", "counts", *keep])
         parts = [x.tobytes() for x in np.split(sketch, SLICES)]
         none = pa.nulls(SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n_shingles", "set_id", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary()), *(none for _ in keep)], ["doc_id", "n_shingles", "set_id", "slice", "counts", *keep])
 
     return run
 
@@ -253,19 +253,22 @@ def _verify(docs: DataFrame, first: DataFrame, members: DataFrame, queries: Data
     )
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs: documents link when 100 * |intersection| >= percent * |union|.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, tell_texts: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id[, text_id, component]) for each row of docs: documents link when 100 * |intersection| >= percent * |union|.
 
     component_id is the least id reachable by links, the document's own included. A text without words (null, empty) has
     an empty set and links with nothing; so does a row with a null id, whose component is null. Repeated rows come out as
-    often as they came in. An empty table gives an empty result; other columns are not read.
+    often as they came in. An empty table gives an empty result; other columns are not read. With tell_texts, text_id (a hash
+    of the text) tells rows of the same id apart, and component names the group, null for an empty set or a null id.
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = materialize(docs.mapInArrow(_describe(n), "doc_id long, n_shingles long, set_id long, slice int, counts binary"), "sets")
+    told = ("text_id",) if tell_texts else ()
+    all_docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.xxhash64(F.col(text_col)).alias(c) for c in told])
+    docs = all_docs.select("doc_id", "text")
+    described = materialize(all_docs.mapInArrow(_describe(n, told), "doc_id long, n_shingles long, set_id long, slice int, counts binary" + ", text_id long" * tell_texts), "sets")
     levels = spark.sparkContext.broadcast(_levels(described))
-    sets = described.where("slice is null").select("doc_id", "n_shingles", "set_id")
+    sets = described.where("slice is null").select("doc_id", "n_shingles", "set_id", *told)
     first = materialize(sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "first")
 
     prefixes = docs.mapInArrow(_prefixes(levels, n, percent), "token long, set_id long, packed long")
@@ -304,5 +307,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = connected_components(links.union(more)).select(F.col("node").alias("set_id"), "component")
     named = first.join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(named.join(least, "component").select("set_id", "component_id"), "named")
-    return sets.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = materialize(named.join(least, "component").select("set_id", "component_id", *["component"] * tell_texts), "named")
+    return sets.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *told, *["component"] * tell_texts)

@@ -58,3 +58,15 @@ def test_empty_tables(spark, folder, tmp_path):
     queries.documents(spark, folder).limit(0).write.parquet(f"{tmp_path}/e/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/e/labels.parquet")
     assert pipeline.run(spark, f"{tmp_path}/e").collect() == []
+
+
+def test_near_duplicates_of_repeated_ids(spark, tmp_path):
+    r = random.Random(4)
+    a, b, c, d = (" ".join(r.choice(WORDS) + r.choice("abcdefgh") for _ in range(80)) for _ in range(4))
+    # 5: a near copy of 1 and a text of its own; 6: two heads, one twice; 7: two near copies of each other
+    rows = [(1, a), (5, a + " more"), (5, b), (6, c), (6, c), (6, b[:200] + d), (7, d), (7, d + " more"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(x) for x in pipeline.one_of_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    sevens = [t for i, t in left if i == 7]
+    assert len(sevens) == 1 and sevens[0] in (d, d + " more")
+    assert sorted((i or 0, t) for i, t in left if i != 7) == sorted([(0, a), (1, a), (5, b), (6, c), (6, b[:200] + d)])
