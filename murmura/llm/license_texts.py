@@ -71,7 +71,7 @@ TEXTS |= {
     "Zlib titled": "zlib License\n\n" + _ZLIB,
 }
 
-# One-line notices. Each has the word license, licence or SPDX.
+# One-line notices.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 SPDX": "SPDX-License-Identifier: Apache-2.0",

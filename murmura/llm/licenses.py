@@ -6,6 +6,8 @@ several equivalent spellings. Whole texts are looked up, and so are single lines
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,31 @@ def known(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def _spellings(word: str) -> set[str]:
+    """The words that the normal form writes as this word."""
+    out = {word}
+    while more := {one for one, other in EQUIVALENT if other in out} - out:
+        out |= more
+    return out
+
+
+def needles(forms: list[str]) -> list[str] | None:
+    """Pieces of lower-case words of which any text with one of these normal forms has one; null if there are none such."""
+    left, out = [[w for w in form.split() if re.fullmatch("[a-z0-9]+", w)] for form in forms], []
+    while left:
+        candidates = {w for words in left for w in words}
+        if not all(left):
+            return None
+        covers = lambda w, words: any(all(any(x in y for x in _spellings(w)) for y in _spellings(v)) for v in words)
+        best = max(sorted(candidates), key=lambda w: (sum(covers(w, words) for words in left), len(w)))
+        out += sorted(_spellings(best))
+        rest = [words for words in left if not covers(best, words)]
+        if len(rest) == len(left):
+            return None
+        left = rest
+    return out
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licenses: DataFrame | None = None, notices: dict[str, str] = NOTICES) -> DataFrame:
     """(doc_id, digest, license_id, notices) of each row of docs.
 
@@ -51,9 +78,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licens
     spark = docs.sparkSession
     prepare(spark)
     licenses = known(spark, TEXTS) if licenses is None else licenses.select("digest", "license_id")
+    forms = [r.form for r in spark.createDataFrame([(t,) for t in notices.values()], "text string").select(canonical(F.col("text")).alias("form")).collect()]
     ids = [(r.digest, r.license_id) for r in known(spark, notices).collect()]  # as many as notices were given
     pairs = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i")) for d, i in ids])
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda line: line.rlike("(?i)licen[cs]e|spdx"))
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    if found := needles(forms):  # only lines that can be a notice are digested
+        lines = F.filter(lines, lambda line: F.lower(line).rlike("|".join(found)))
     hits = F.flatten(F.transform(lines, lambda line: F.transform(F.filter(pairs, lambda p: p["d"] == digest(line)), lambda p: p["i"]))) if ids else F.array().cast("array<string>")
     found = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), F.array_join(F.array_sort(F.array_distinct(hits)), ",").alias("notices"))
     return found.join(if_small(licenses), "digest", "left").select("doc_id", "digest", "license_id", "notices")

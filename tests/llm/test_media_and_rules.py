@@ -193,3 +193,15 @@ def test_scores_stop_when_they_settle(spark):
     assert {(r.host, r.score) for r in propagate(edges, seeds, 0.5, 50).collect()} == {("a", 1.0), ("b", 0.5)}
     empty = spark.createDataFrame([], "host string, verdict string, html string")
     assert host_scores(empty).collect() == []
+
+
+def test_notices_without_the_word_license(spark):
+    given = {"PD": "This work is in the public domain.", "CC0": "CC0 1.0", "MIT": NOTICES["MIT"], "author": "By the owner", "日本": "著作権なし"}
+    texts = {1: "x\nThis WORK is in the public domain", 2: "a\ncc0, 1.0\nb", 3: "Released under the MIT licence", 4: "by the HOLDER", 5: "nothing", 6: "著作権なし!", 7: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {1: "PD", 2: "CC0", 3: "MIT", 4: "author", 5: "", 6: "日本", 7: ""}
+    assert {r.doc_id: r.notices for r in licenses.scan(docs, notices=given).collect()} == want
+    del given["日本"]
+    assert {r.doc_id: r.notices for r in licenses.scan(docs, notices=given).collect()} == want | {6: ""}
+    assert licenses.needles([" license a ", " licensed b "]) == ["licence", "license"] and licenses.needles(["  "]) is None
+    assert licenses.scan(docs, notices={}).where("notices <> ''").count() == 0
