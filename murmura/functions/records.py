@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import stripped
 
 #: Short refusals, once trailing dots and exclamation marks are gone, and phrases that refuse.
-SHORT_REFUSALS = ("no", "nope", "stop", "unsubscribe", "no thanks", "no thank you", "not for me", "not interested")
+SHORT_REFUSALS = ("no", "nope", "nah", "pass", "decline", "not interested", "no thanks", "no thank you", "not for me")
 REFUSAL_PHRASES = r"(?i)\b(?:not interested|no thanks|no thank you|don'?t want|won'?t|can'?t do|pass)\b"
 #: Other spellings of actions.
 ACTIONS = {

@@ -180,7 +180,7 @@ def record_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_tables("messages", r"""said AS (SELECT conv_id, turn, text, regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[.!]+$', '') AS short FROM messages WHERE role = 'creator')
-SELECT conv_id, turn, coalesce(short <> '' AND (short IN ('no', 'nope', 'stop', 'unsubscribe', 'no thanks', 'no thank you', 'not for me', 'not interested') OR regexp_matches(text, '(?i)\b(?:not interested|no thanks|no thank you|don''?t want|won''?t|can''?t do|pass)\b')), false) AS refuses FROM said"""))
+SELECT conv_id, turn, coalesce(short <> '' AND (short IN (""" + ", ".join(f"'{x}'" for x in X.SHORT_REFUSALS) + r""") OR regexp_matches(text, '(?i)\b(?:not interested|no thanks|no thank you|don''?t want|won''?t|can''?t do|pass)\b')), false) AS refuses FROM said"""))
 def outreach_refusals(spark: SparkSession, d: str) -> DataFrame:
     return T.messages(spark, d).where("role = 'creator'").select("conv_id", "turn", X.refuses(F.col("text")).alias("refuses"))
 
