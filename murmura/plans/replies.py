@@ -14,7 +14,6 @@ from .registry import query
 
 HEAD = Vocabulary(tier_groups=(("A-level", "S-level"), ("B-level", "sampled")), head_tiers=("A-level", "S-level"), negotiation_shops=("north",))
 
-_M, _O = F.col("message"), F.col("offer")
 
 
 def _quote_sql(text: str, prefer: bool = True) -> str:
@@ -55,7 +54,7 @@ def _negotiates():
 @query(f"WITH {SQL} SELECT s.request_id, amount_usd, raw_match, score, confidence FROM said s LEFT JOIN {_quote_sql('t')} q ON q.request_id = s.request_id")
 def quote_extract(spark: SparkSession, d: str) -> DataFrame:
     """The likely quote of each message (STR-13, SRT-04, NUM-08)."""
-    return requests(spark, d).select("request_id", Q.quote(_M).alias("q")).select("request_id", "q.amount_usd", "q.raw_match", "q.score", "q.confidence")
+    return requests(spark, d).select("request_id", Q.quote(F.col("message")).alias("q")).select("request_id", "q.amount_usd", "q.raw_match", "q.score", "q.confidence")
 
 
 _AGREED = lambda x: f"nullif(regexp_extract({x}, {text_sql(Q.AGREED)}, 0), '')"
@@ -75,9 +74,9 @@ picked AS (SELECT *, CASE WHEN scenario = 'creator_quote' THEN CASE WHEN own_amo
 @query(f"WITH {SQL}, {_WORDS}, {_SCENARIO} SELECT request_id, scenario, q.amount_usd AS amount_usd, q.source AS source, q.raw_match AS raw_match, q.confidence AS confidence FROM picked")
 def quote_scenario(spark: SparkSession, d: str) -> DataFrame:
     """When a quote is looked for, and what it is (RPL-12, RPL-13)."""
-    flags, top = R.reply_flags(_M), F.when(F.col("request_id") % 3 == 0, F.array(F.lit("priority_node:A3"))).otherwise(F.array().cast("array<string>"))
-    rows = requests(spark, d).withColumn("scenario", Q.quote_scenario(_negotiates(), _M, F.col("intent"), F.lit(None).cast("string"), flags, top))
-    rows = rows.withColumn("q", Q.scenario_quote(F.col("scenario"), _M, _O, F.lit("")))
+    flags, top = R.reply_flags(F.col("message")), F.when(F.col("request_id") % 3 == 0, F.array(F.lit("priority_node:A3"))).otherwise(F.array().cast("array<string>"))
+    rows = requests(spark, d).withColumn("scenario", Q.quote_scenario(_negotiates(), F.col("message"), F.col("intent"), F.lit(None).cast("string"), flags, top))
+    rows = rows.withColumn("q", Q.scenario_quote(F.col("scenario"), F.col("message"), F.col("offer"), F.lit("")))
     return rows.select("request_id", "scenario", "q.amount_usd", "q.source", "q.raw_match", "q.confidence")
 
 
@@ -85,8 +84,8 @@ def quote_scenario(spark: SparkSession, d: str) -> DataFrame:
 def message_facts(spark: SparkSession, d: str) -> DataFrame:
     """Flags of messages and what they mean (RUL-14, FLT-14, INT-11)."""
     return requests(spark, d).select(
-        "request_id", F.array_join(R.reply_flags(_M), ",").alias("flags"), R.refuses_outreach(_M).alias("refuses"), R.rejects_price(_M, _O).alias("rejects_price"),
-        R.confirms_two_videos(_M, _O).alias("confirms"), R.asks_for_sample(_M).alias("asks_sample"),
+        "request_id", F.array_join(R.reply_flags(F.col("message")), ",").alias("flags"), R.refuses_outreach(F.col("message")).alias("refuses"), R.rejects_price(F.col("message"), F.col("offer")).alias("rejects_price"),
+        R.confirms_two_videos(F.col("message"), F.col("offer")).alias("confirms"), R.asks_for_sample(F.col("message")).alias("asks_sample"),
     )
 
 
@@ -102,7 +101,7 @@ def message_facts(spark: SparkSession, d: str) -> DataFrame:
   ELSE {{'intent': intent, 'confidence': 'low', 'hint': NULL}} END AS r FROM facts)""")
 def intent_refined(spark: SparkSession, d: str) -> DataFrame:
     """The ladder that corrects an intent (INT-09)."""
-    rows = requests(spark, d).select("request_id", R.refined_intent(F.col("intent"), F.lit("low"), _M, _O).alias("r"))
+    rows = requests(spark, d).select("request_id", R.refined_intent(F.col("intent"), F.lit("low"), F.col("message"), F.col("offer")).alias("r"))
     return rows.select("request_id", "r.intent", "r.confidence", "r.hint")
 
 
@@ -115,7 +114,7 @@ _RICH = f"list_filter(['reply_yes', 'reply_interested', CASE WHEN {said_sql('off
 def match_enrichment(spark: SparkSession, d: str) -> DataFrame:
     """Flags and emotions that rules are matched with (INT-10, INT-12, RUL-13)."""
     preset = F.when(F.col("request_id") % 9 == 0, "calm").otherwise("GEN")
-    return requests(spark, d).select("request_id", F.array_join(R.enriched_flags(R.reply_flags(_M), _M, _O), ",").alias("flags"), R.inferred_emotion(_M, preset).alias("emotion"))
+    return requests(spark, d).select("request_id", F.array_join(R.enriched_flags(R.reply_flags(F.col("message")), F.col("message"), F.col("offer")), ",").alias("flags"), R.inferred_emotion(F.col("message"), preset).alias("emotion"))
 
 
 _STEP = f"CASE WHEN list_contains(progress, '{R.SAMPLE_ASKED}') THEN 'sample_review' WHEN answer = 'joined' AND list_contains(progress, '{R.SHOWCASED}') AND list_contains(progress, '{R.SAMPLE_NOT_ASKED}') THEN 'sample' WHEN list_contains(progress, '{R.NOT_SHOWCASED}') OR len(progress) = 0 THEN 'showcase' WHEN list_contains(progress, '{R.SHOWCASED}') THEN 'sample' ELSE 'showcase' END"
@@ -125,7 +124,7 @@ _STEP = f"CASE WHEN list_contains(progress, '{R.SAMPLE_ASKED}') THEN 'sample_rev
   CASE WHEN sales >= 1000 THEN 'wa_group_gmv_gte_1k' ELSE 'wa_group_gmv_lt_1k' END AS link_slot FROM facts WHERE shop = 'north' AND answer IS NOT NULL""")
 def join_flow(spark: SparkSession, d: str) -> DataFrame:
     """Answers about the messenger group and what comes next (RPL-04)."""
-    rows = requests(spark, d).where("shop = 'north'").withColumn("answer", R.messenger_answer(_M)).where("answer is not null")
+    rows = requests(spark, d).where("shop = 'north'").withColumn("answer", R.messenger_answer(F.col("message"))).where("answer is not null")
     answer = F.col("answer")
     return rows.select("request_id", "answer", R.next_step(F.col("progress"), answer).alias("step"), R.messenger_value(answer).alias("join_value"), R.sales_slot("wa_group", F.col("sales")).alias("link_slot"))
 
@@ -137,7 +136,7 @@ _BYE = """CASE WHEN language LIKE 'zh%' THEN '很遗憾听到这个消息，这
 @query(f"WITH {SQL}, {_WORDS} SELECT request_id, creator_id, shop, {_BYE} AS reply, true AS shop_rejected, '已拒绝' AS creator_progress, '{R.REFUSED}' AS creator_emotion FROM facts WHERE NOT refused AND NOT rejected AND refuses AND NOT {_STILL}")
 def reject_flow(spark: SparkSession, d: str) -> DataFrame:
     """First refusals, with the farewell and the state that is stored; not where the price is still negotiated (RPL-03)."""
-    rows = requests(spark, d).where(~F.col("refused") & ~F.col("rejected") & R.refuses_outreach(_M) & ~still_negotiating())
+    rows = requests(spark, d).where(~F.col("refused") & ~F.col("rejected") & R.refuses_outreach(F.col("message")) & ~still_negotiating())
     return rows.select(
         "request_id", "creator_id", "shop", R.goodbye(F.col("language"), "Ada").alias("reply"), F.lit(True).alias("shop_rejected"), F.lit("已拒绝").alias("creator_progress"), F.lit(R.REFUSED).alias("creator_emotion"),
     )
@@ -145,9 +144,9 @@ def reject_flow(spark: SparkSession, d: str) -> DataFrame:
 
 def still_negotiating():
     """A refusal that answers an offer of commission where prices are negotiated is about the price."""
-    text = F.trim(F.coalesce(_M, F.lit("")))
+    text = F.trim(F.coalesce(F.col("message"), F.lit("")))
     short = F.regexp_replace(F.lower(text), r"[.!]+$", "").isin(*X.SHORT_REFUSALS)
-    return _negotiates() & F.coalesce(_O.rlike(R.OFFERED_COMMISSION), F.lit(False)) & (R.rejects_price(_M, _O) | short | F.array_contains(R.reply_flags(_M), "reply_reject"))
+    return _negotiates() & F.coalesce(F.col("offer").rlike(R.OFFERED_COMMISSION), F.lit(False)) & (R.rejects_price(F.col("message"), F.col("offer")) | short | F.array_contains(R.reply_flags(F.col("message")), "reply_reject"))
 
 
 _STATUS = f"""CASE WHEN refused THEN 'withdrawn' WHEN rejected THEN 'silent' WHEN refuses AND NOT {_STILL} THEN 'goodbye' WHEN shop = 'north' AND answer IS NOT NULL THEN 'messenger' WHEN t = '' THEN 'no_message'
@@ -162,10 +161,10 @@ def reply_status(spark: SparkSession, d: str) -> DataFrame:
 
 def status_of(scripts, valid, script_valid):
     """Status of requests with so many scripts, whose reply is valid, or whose first script is."""
-    text = F.trim(F.coalesce(_M, F.lit("")))
+    text = F.trim(F.coalesce(F.col("message"), F.lit("")))
     return (
-        F.when(F.col("refused"), "withdrawn").when(F.col("rejected"), "silent").when(R.refuses_outreach(_M) & ~still_negotiating(), "goodbye")
-        .when((F.col("shop") == "north") & R.messenger_answer(_M).isNotNull(), "messenger").when(text == "", "no_message")
+        F.when(F.col("refused"), "withdrawn").when(F.col("rejected"), "silent").when(R.refuses_outreach(F.col("message")) & ~still_negotiating(), "goodbye")
+        .when((F.col("shop") == "north") & R.messenger_answer(F.col("message")).isNotNull(), "messenger").when(text == "", "no_message")
         .when(scripts == 0, "no_match").when(valid, "replied").when(script_valid, "replied_by_script").otherwise("rejected")
     )
 
@@ -181,5 +180,5 @@ made AS (SELECT request_id, creator_id, action, {_EFFECT} AS e FROM acts) SELECT
 def action_effects(spark: SparkSession, d: str) -> DataFrame:
     """What each action changes, a row for each that is known (RPL-14, RPL-16, UDF-02)."""
     action = pick((*ACTION_NAMES, "unknown"), F.floor(F.col("request_id") / 2))
-    rows = requests(spark, d).withColumn("action", action).withColumn("e", R.effect(F.col("action"), F.col("creator_id"), _M)).where("e is not null")
+    rows = requests(spark, d).withColumn("action", action).withColumn("e", R.effect(F.col("action"), F.col("creator_id"), F.col("message"))).where("e is not null")
     return rows.select("request_id", "creator_id", "action", "e.kind", "e.target", "e.value", "e.note")
