@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import conditions, knowledge, matching, replies, reports, scalars
+from . import conditions, knowledge, matching, replies, reports, scalars, stores, values
 from .registry import ORACLE_SQL, QUERIES, Query
 
-__all__ = ["conditions", "knowledge", "matching", "replies", "reports", "scalars", "queries", "oracle_sql"]
+__all__ = ["conditions", "knowledge", "matching", "replies", "reports", "scalars", "stores", "values", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Query]:
