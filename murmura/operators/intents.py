@@ -52,3 +52,37 @@ def emotion(text: Column) -> Column:
     """refusal, not_interested, interested or null, in this order of precedence."""
     low = F.lower(text)
     return F.when(low.rlike("stop|unsubscribe|reject"), "refusal").when(low.rlike("not interested|worthless|no thanks"), "not_interested").when(low.rlike("interested|thank|great"), "interested")
+
+
+#: Keywords that may become part of a plan; a larger list is no vocabulary of intents.
+MOST_WORDS = 5_000
+#: Fixed value: greetings, which have no obvious intention.
+GREETING = r"^(hi|hello|hey|thanks|thank you)\b"
+
+
+def classified(messages: DataFrame, exact: DataFrame, keywords: DataFrame) -> DataFrame:
+    """messages without `message`, with (intent, confidence, matched_by): the intent whose whole reply the message is (by -priority,
+    intent), else the one whose keywords score most (then by -priority, intent), else a greeting, else GEN.
+
+    exact (intent, reply, priority) is joined by lower case; keywords (intent, keyword, priority) become one expression, as in
+    keyword_scores: two points beyond ASCII or over four characters, else one. Null and blank messages are GEN with low confidence.
+    """
+    words = keywords.orderBy("intent", "keyword").limit(MOST_WORDS + 1).collect()
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"over {MOST_WORDS} keywords")
+    text = F.regexp_replace(F.coalesce("message", F.lit("")), r"^\s+|\s+$", "")
+    rows = messages.withColumns({"__t": text, "__low": F.lower(text)})
+    replies = exact.select(F.lower("reply").alias("__low"), F.struct((-F.col("priority")).alias("p"), F.col("intent").alias("intent")).alias("r")).groupBy("__low").agg(F.min("r").alias("__exact"))
+    points = []
+    for intent in dict.fromkeys(w.intent for w in words):
+        own = [w for w in words if w.intent == intent]
+        score = sum((F.when(F.contains("__low", F.lit(w.keyword)), 2 if len(w.keyword) > 4 or not w.keyword.isascii() else 1).otherwise(0) for w in own), F.lit(0))
+        points.append(F.struct((-score).alias("score"), F.lit(-max(w.priority for w in own)).alias("p"), F.lit(intent).alias("intent")))
+    best = F.array_min(F.filter(F.array(*points), lambda x: x["score"] < 0)) if points else F.lit(None).cast("struct<score:int,p:int,intent:string>")
+    rows = rows.join(replies, "__low", "left").withColumn("__best", best)
+    blank, hit, word, greets = F.col("__t") == "", F.col("__exact").isNotNull(), F.col("__best").isNotNull(), F.col("__low").rlike(GREETING)
+    return rows.withColumns({
+        "intent": F.when(blank, "GEN").when(hit, F.col("__exact.intent")).when(word, F.col("__best.intent")).when(greets, "No obvious intention").otherwise("GEN"),
+        "confidence": F.when(blank, "low").when(hit | (F.col("__best.score") <= -3), "high").when(word | greets, "medium").otherwise("low"),
+        "matched_by": F.when(blank, "none").when(hit, "exact").when(word | greets, "keyword").otherwise("none"),
+    }).drop("message", "__t", "__low", "__exact", "__best")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import conditions, history, knowledge, matching, replies, reports, scalars, stores, values
+from . import conditions, history, knowledge, matching, replies, reports, scalars, stores, structuring, values
 from .registry import ORACLE_SQL, QUERIES, Query
 
-__all__ = ["conditions", "history", "knowledge", "matching", "replies", "reports", "scalars", "stores", "values", "queries", "oracle_sql"]
+__all__ = ["conditions", "history", "knowledge", "matching", "replies", "reports", "scalars", "stores", "structuring", "values", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Query]:
