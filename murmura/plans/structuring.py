@@ -11,13 +11,12 @@ from ..sources.requests import SQL, requests, text_sql
 from .registry import query
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, 'r' || (l_partkey % 3) AS record_id FROM lineitem)
-SELECT l_orderkey, l_linenumber, 'K-' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, record_id || CASE WHEN row_number() OVER (PARTITION BY l_orderkey, record_id ORDER BY l_linenumber) = 1 THEN '' ELSE '-' || row_number() OVER (PARTITION BY l_orderkey, record_id ORDER BY l_linenumber) END AS unique_id FROM t""")
+@query("""WITH t AS (SELECT o_custkey, o_orderkey, 'r' || (o_orderkey // 3 % 3) AS record_id FROM orders)
+SELECT o_custkey, o_orderkey, 'K-' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS id, record_id || CASE WHEN row_number() OVER (PARTITION BY o_custkey, record_id ORDER BY o_orderkey) = 1 THEN '' ELSE '-' || row_number() OVER (PARTITION BY o_custkey, record_id ORDER BY o_orderkey) END AS unique_id FROM t""")
 def record_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Records numbered in their documents, repeated ids told apart (WIN-08)."""
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    rows = T.table(spark, d, "lineitem").select("l_orderkey", *order, F.concat(F.lit("r"), F.col("l_partkey") % 3).alias("record_id"))
-    return K.numbered_ids(rows, "l_orderkey", order, "K").select("l_orderkey", "l_linenumber", "id", "unique_id")
+    rows = T.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("r"), F.floor(F.col("o_orderkey") / 3) % 3).alias("record_id"))
+    return K.numbered_ids(rows, "o_custkey", ["o_orderkey"], "K").drop("record_id")
 
 
 _RAW = {
