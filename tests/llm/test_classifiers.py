@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -141,6 +142,38 @@ def test_quality_learns_and_handles_awkward_rows(spark, awkward, no_rows):
     assert quality.quality(docs, untrained).count() == 150
 
 
+def test_long_labelled_texts_are_learned_in_bounded_time(spark):
+    """200,000 lines of one label do not hold the driver, and do not outweigh other documents."""
+    long_text = "\n".join(f"word{i} and more of it here." for i in range(200_000))
+    junk = "\n".join("J### $$ ||" for _ in range(5))
+    docs = spark.createDataFrame([(1, long_text), (2, junk), (3, junk + "\nX## $$")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    began = time.perf_counter()
+    crf = quality.train(docs, labels)
+    assert time.perf_counter() - began < 60
+    found = {r.doc_id: r.content_share for r in quality.quality(docs, crf).collect()}
+    assert found[1] == 1.0 and found[2] == found[3] == 0.0
+
+
+def test_equal_scores_are_content():
+    crf = quality.Crf(np.zeros((quality.FEATURES, 2)), np.zeros((2, 2)))
+    assert crf.decode(quality.lines_of(b"a b c\nd e\n### f")[0]) == [1, 1, 1]
+
+
+def test_held_out_accuracy_on_documents(spark):
+    """Trained on documents that are not held out, right on those that are."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    trained = language.train(docs.where(~held_out()), sample_docs=4_000)
+    rows = language.identify(docs.where(held_out() & F.col("lang").isNotNull()), trained, keep=("lang", "text"), penalty=16.0).where("lang_pred <> 'und'").collect()
+    assert len(rows) > 20 and sum(r.lang == r.lang_pred for r in rows) >= 0.9 * len(rows)
+
+
+def test_tied_languages_are_told_apart_by_name(spark):
+    same = spark.createDataFrame([(i, "one and the same text", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    found = {r.lang_pred for r in language.identify(same, language.train(same)).collect()}
+    assert len(found) == 1 and found < {"a", "b"}
+
+
 def test_rare_languages_are_learned(spark):
     common = spark.range(6_000).selectExpr("id doc_id", "if(id % 3 = 0, 'the house by the river', 'old garden of the town') text", "'en' lang")
     rare = spark.createDataFrame([(10_000 + i, "αβγ δεζ ηθι", "el") for i in range(3)], "doc_id long, text string, lang string")
