@@ -42,6 +42,15 @@ def known(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def load(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(digest, license_id) of the license texts in a folder, one a file, named by the file without `.txt`: the table that scan
+    takes as licenses. Of files with equal normal forms, the first name. The built-in texts are put in too."""
+    files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    name = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1), r"(?i)\.txt$", "")
+    rows = files.select(name.alias("license_id"), digest(F.col("value")).alias("digest")).unionByName(known(spark, TEXTS).select("license_id", "digest"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
 def _spellings(word: str) -> set[str]:
     """The words that the normal form writes as this word."""
     out = {word}
@@ -80,10 +89,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licens
     licenses = known(spark, TEXTS) if licenses is None else licenses.select("digest", "license_id")
     forms = [r.form for r in spark.createDataFrame([(t,) for t in notices.values()], "text string").select(canonical(F.col("text")).alias("form")).collect()]
     ids = [(r.digest, r.license_id) for r in known(spark, notices).collect()]  # as many as notices were given
-    pairs = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i")) for d, i in ids])
+    by_digest = F.create_map(*[F.lit(x) for pair in ids for x in pair]) if ids else None
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     if found := needles(forms):  # only lines that can be a notice are digested
         lines = F.filter(lines, lambda line: F.lower(line).rlike("|".join(found)))
-    hits = F.flatten(F.transform(lines, lambda line: F.transform(F.filter(pairs, lambda p: p["d"] == digest(line)), lambda p: p["i"]))) if ids else F.array().cast("array<string>")
+    digests = F.transform(lines, digest)  # once a line, then looked up
+    hits = F.filter(F.transform(digests, lambda d: F.try_element_at(by_digest, d)), lambda i: i.isNotNull()) if ids else F.array().cast("array<string>")
     found = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), F.array_join(F.array_sort(F.array_distinct(hits)), ",").alias("notices"))
     return found.join(if_small(licenses), "digest", "left").select("doc_id", "digest", "license_id", "notices")

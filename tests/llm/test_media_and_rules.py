@@ -205,3 +205,20 @@ def test_notices_without_the_word_license(spark):
     assert {r.doc_id: r.notices for r in licenses.scan(docs, notices=given).collect()} == want | {6: ""}
     assert licenses.needles([" license a ", " licensed b "]) == ["licence", "license"] and licenses.needles(["  "]) is None
     assert licenses.scan(docs, notices={}).where("notices <> ''").count() == 0
+
+
+def test_licenses_from_a_folder(spark, tmp_path):
+    (tmp_path / "GPL-x.txt").write_text("General Licence,\nversion X.  Copyright (c) 2001 Someone\nYou may copy.")
+    (tmp_path / "Copy-of-it").write_text("GENERAL license version x\nyou may copy")
+    (tmp_path / "Other").write_text("Another text\nof two lines")
+    table = licenses.load(spark, str(tmp_path))
+    assert table.count() == table.select("digest").distinct().count() and {"GPL-x", "Copy-of-it"} & {r.license_id for r in table.collect()}
+    docs = spark.createDataFrame([(1, "general license; version X. Copyright 2020 Z\n\nYou may copy!"), (2, "another TEXT of two lines."), (3, TEXTS["MIT"]), (4, None)], "doc_id long, text string")
+    found = {r.doc_id: r.license_id for r in licenses.scan(docs, licenses=table).collect()}
+    assert found[2] == "Other" and found[3] == "MIT" and found[4] is None
+
+
+def test_license_of_very_long_text(spark):
+    long_text = "\n".join(["just a line of words"] * 50_000 + ["SPDX-License-Identifier: MIT"])
+    row = licenses.scan(spark.createDataFrame([(1, long_text)], "doc_id long, text string")).first()
+    assert row.license_id is None and row.notices in {"", *NOTICES}
