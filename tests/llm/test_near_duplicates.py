@@ -3,6 +3,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from murmura.llm import jaccard, substring_dedup
 from murmura.llm.jaccard import jaccard_components
@@ -218,6 +220,53 @@ def test_repeats_equal_brute_force(spark):
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found) == brute_repeats(docs)
 
 
+def test_hot_anchors_list_their_windows(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
+    for seed in (0, 2):
+        docs = planted(seed)
+        found = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found) == brute_repeats(docs)
+
+
+def test_extensions_do_not_depend_on_batches():
+    r, span = random.Random(2), 20
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for _ in range(30):
+        a = r.randint(0, 30)
+        text = [f"x{r.random()}" for _ in range(r.randint(0, 20))] + passage[a : a + r.randint(10, 30)] + [f"y{r.random()}" for _ in range(20)]
+        texts.append(" ".join(text).encode())
+    rows = []
+    for key, t in enumerate(texts):
+        h = substring_dedup._words(t)
+        for anchor, _, start, shape in zip(*substring_dedup._described(t, span), strict=True):
+            n = int(shape) & (1 << substring_dedup._BITS) - 1
+            rows.append((int(anchor), key, int(start), int(shape), False, h[start : start + n - 1 + span].tobytes()))
+    rows.sort(key=lambda x: (x[0], x[1], x[2]))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+
+    def made(size, together):
+        old, substring_dedup.TOGETHER = substring_dedup.TOGETHER, together
+        parts = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[at : at + size]], k) for i, k in enumerate(kinds)], ["anchor", "doc_key", "start", "shape", "repeats", "words"]) for at in range(0, len(rows), size)]
+        try:
+            return sorted(tuple(x.values()) for b in substring_dedup._extend(span)(iter(parts)) for x in b.to_pylist())
+        finally:
+            substring_dedup.TOGETHER = old
+
+    whole = made(10_000, 10_000)
+    assert whole and whole == made(1, 1) == made(7, 20)
+    words = [t.split() for t in texts]
+    windows = Counter(tuple(w[i : i + span]) for w in words for i in range(len(w) - span + 1))
+    want = {(d, i) for d, w in enumerate(words) for i in range(len(w) - span + 1) if windows[tuple(w[i : i + span])] > 1}
+    assert {(d, s + k) for d, s, n in whole for k in range(n)} == want
+
+
+def test_names_that_clash_are_refused(awkward):
+    for name in ("n_words", "kept", "text"):
+        with pytest.raises(ValueError, match=name):
+            remove_repeats(awkward.withColumn("n_words", F.lit(1)), keep=(name,))
+
+
 def test_a_text_that_repeats_itself(spark):
     text = " ".join(["again"] * 36 + [f"w{i}" for i in range(50)])
     docs = [(1, text), (2, " ".join(["again"] * 35))]
