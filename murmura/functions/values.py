@@ -69,7 +69,8 @@ def quote_amount(amount: Column) -> Column:
 def confidence(label: Column) -> Column:
     """A label as a number, a number in text as itself within 0 and 1; null for anything else."""
     low = F.lower(stripped(label))
-    out = F.least(F.lit(1.0), F.greatest(F.lit(0.0), low.try_cast("double")))
+    number = low.try_cast("double")
+    out = F.when(number.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)))
     for name, value in CONFIDENCE.items():
         out = F.when(low == name, F.lit(value)).otherwise(out)
     return out

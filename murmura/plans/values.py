@@ -38,7 +38,7 @@ def flag_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN ' High' WHEN 1 THEN 'medium' WHEN 2 THEN '0.8' WHEN 3 THEN '7' WHEN 4 THEN 'none' END AS label, CASE o_orderkey % 3 WHEN 0 THEN '1,' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') WHEN 1 THEN '-5' ELSE ' 12.5 ' END AS raw, o_totalprice FROM orders)
-SELECT o_orderkey, CASE lower(trim(label)) WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.65 WHEN 'low' THEN 0.35 ELSE least(1.0, greatest(0.0, TRY_CAST(trim(label) AS DOUBLE))) END AS confidence,
+SELECT o_orderkey, CASE lower(trim(label)) WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.65 WHEN 'low' THEN 0.35 ELSE CASE WHEN TRY_CAST(trim(label) AS DOUBLE) IS NOT NULL THEN least(1.0, greatest(0.0, TRY_CAST(trim(label) AS DOUBLE))) END END AS confidence,
 CASE WHEN TRY_CAST(regexp_replace(raw, '[,\\s]', '', 'g') AS DOUBLE) >= 0 THEN TRY_CAST(regexp_replace(raw, '[,\\s]', '', 'g') AS DOUBLE) END AS number, CAST(round(CAST(o_totalprice AS DECIMAL(18,4)) / 3, 2) AS DECIMAL(18,2)) AS quote,
 CASE o_orderkey % 4 WHEN 0 THEN 'gmv_high,vip' WHEN 1 THEN 'gmv_low' ELSE '' END AS flags FROM t""".replace("CAST(round(CAST(o_totalprice AS DECIMAL(18,4)) / 3, 2) AS DECIMAL(18,2))", "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(18,2))"))
 def label_numbers(spark: SparkSession, d: str) -> DataFrame:
