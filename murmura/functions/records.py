@@ -31,7 +31,8 @@ CREATOR_TAG = r"(?i)\[creator\s*\]"
 
 def sections(text: Column) -> Column:
     """array<struct<name, body>> of a text with lines like `===== name =====`; what stands before the first is left out."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), text), r"\n===== "), 2, 1_000_000)
+    split = F.split(F.concat(F.lit("\n"), text), r"\n===== ")
+    parts = F.slice(split, F.lit(2), F.greatest(F.size(split), F.lit(0)))
     return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^([^\n]*?) =====", 1)).alias("name"), stripped(F.regexp_replace(p, r"^[^\n]*", "")).alias("body")))
 
 

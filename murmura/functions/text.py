@@ -104,6 +104,6 @@ def quote(c: Column, hints: tuple[str, ...] = QUOTE_HINTS, against: tuple[str, .
         before, here = F.lower(F.right(F.element_at(parts, i), F.lit(40))), F.element_at(parts, i + 1)
         points = sum((F.when(F.contains(before, F.lit(h)), 2).otherwise(0) for h in hints), F.lit(1))
         points = points - sum((F.when(F.contains(before, F.lit(h)), 2).otherwise(0) for h in against), F.lit(0))
-        return F.struct(points.alias("score"), F.regexp_extract(here, r"^[0-9]+(?:\.[0-9]{1,2})?", 0).cast("decimal(18,2)").alias("amount"))
-    found = F.when(F.size(parts) > 1, F.array_max(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), scored)))
+        return F.struct(points.alias("score"), F.regexp_extract(here, r"^[0-9]+(?:\.[0-9]{1,2})?", 0).try_cast("decimal(18,2)").alias("amount"))
+    found = F.when(F.size(parts) > 1, F.array_max(F.filter(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), scored), lambda x: x["amount"].isNotNull())))
     return found

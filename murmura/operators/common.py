@@ -1,8 +1,8 @@
-"""What operators share: broadcasts behind a count of rows, and numbering whole tables without one task for all."""
+"""What operators share: broadcasts behind a count of rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; a larger side is joined by a shuffle.
@@ -13,10 +13,3 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many (narrow) rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
-
-def numbered(df: DataFrame, by: Column, order: list[Column], name: str = "place") -> DataFrame:
-    """df with a number from 1 in each group, in order, as `name`.
-
-    Groups are narrow keys of bounded size; a table that is one group goes through reports.paged, which deals it by range.
-    """
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long"))

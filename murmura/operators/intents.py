@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Keywords that may become part of a plan; a larger list is no vocabulary of intents.
+MOST_WORDS = 5_000
+
 
 def keyword_scores(messages: DataFrame, keywords: DataFrame) -> DataFrame:
     """(message_id, intent, score) from (message_id, text) and (intent, keyword): two points for a keyword of over four
@@ -12,7 +15,10 @@ def keyword_scores(messages: DataFrame, keywords: DataFrame) -> DataFrame:
 
     The keyword list is part of the plan: one pass over the messages, with no join.
     """
-    words = [(r.intent, r.keyword.lower()) for r in keywords.distinct().orderBy("intent", "keyword").collect()]  # a vocabulary, not data
+    found = keywords.distinct().orderBy("intent", "keyword").limit(MOST_WORDS + 1).collect()
+    if len(found) > MOST_WORDS:
+        raise ValueError(f"over {MOST_WORDS} keywords")
+    words = [(r.intent, r.keyword.lower()) for r in found]
     low = F.lower("text")
     by_intent: dict[str, list[str]] = {}
     for intent, word in words:
@@ -54,8 +60,6 @@ def emotion(text: Column) -> Column:
     return F.when(low.rlike("stop|unsubscribe|reject"), "refusal").when(low.rlike("not interested|worthless|no thanks"), "not_interested").when(low.rlike("interested|thank|great"), "interested")
 
 
-#: Keywords that may become part of a plan; a larger list is no vocabulary of intents.
-MOST_WORDS = 5_000
 #: Fixed value: greetings, which have no obvious intention.
 GREETING = r"^(hi|hello|hey|thanks|thank you)\b"
 

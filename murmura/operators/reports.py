@@ -48,8 +48,10 @@ def enriched_showcase(showcase: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
-    """The first row of each key; order must decide ties."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    """The first row of each key, by ascending order, which must decide ties; rows are combined before they are shuffled."""
+    named = [(F.col(k) if isinstance(k, str) else k).alias(f"__{i}") for i, k in enumerate(keys)]
+    first = F.min_by(F.struct(*df.columns), F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)]))
+    return df.groupBy(*named).agg(first.alias("__row")).select("__row.*")
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

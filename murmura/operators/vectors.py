@@ -40,8 +40,14 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, most_queries: int = 10
 
 
 def _nearest(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    pairs = index.join(F.broadcast(queries), F.size("embedding") == F.size("vector"))
-    rows = pairs.select("query_id", "vec_id", (F.round(cosine_distance(F.col("embedding"), F.col("vector")), 6) + 0.0).alias("distance"))
+    as_double = lambda c: F.transform(c, lambda v: v.cast("double"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    # lengths are computed once a vector, before vectors meet
+    own = index.select("vec_id", as_double("embedding").alias("v")).withColumn("v_norm", F.sqrt(dot(F.col("v"), F.col("v"))))
+    asked = queries.select("query_id", as_double("vector").alias("q")).withColumn("q_norm", F.sqrt(dot(F.col("q"), F.col("q"))))
+    pairs = own.join(F.broadcast(asked), F.size("v") == F.size("q"))
+    distance = 1 - F.try_divide(dot(F.col("v"), F.col("q")), F.col("v_norm") * F.col("q_norm"))
+    rows = pairs.select("query_id", "vec_id", (F.round(distance, 6) + 0.0).alias("distance"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))  # Spark limits each partition first
     return rows.withColumn("rank", place).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 

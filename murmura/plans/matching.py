@@ -84,14 +84,14 @@ def negotiation_round(spark: SparkSession, d: str) -> DataFrame:
 
 KEYWORDS = [("thanks", "thank"), ("thanks", "great"), ("question", "how"), ("question", "what"), ("question", "explain"), ("work", "code"), ("work", "function"), ("work", "write")]
 PRIORITIES = {"question": 2, "work": 1}
-_SCORES = with_tables("messages", "words(intent, w) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in KEYWORDS) + """), said AS (SELECT conv_id * 1000 + turn AS message_id, text FROM messages WHERE role = 'creator'),
+_SCORES = with_tables("messages", "words(intent, w) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in KEYWORDS) + """), said AS (SELECT conv_id || '-' || turn AS message_id, text FROM messages WHERE role = 'creator'),
 scores AS (SELECT message_id, intent, CAST(sum(CASE WHEN contains(lower(text), w) THEN CASE WHEN length(w) > 4 THEN 2 ELSE 1 END ELSE 0 END) AS INTEGER) AS score FROM said, words GROUP BY 1, 2 HAVING score > 0),
 placed AS (SELECT *, max(score) OVER (PARTITION BY message_id) AS top, row_number() OVER (PARTITION BY message_id ORDER BY score DESC, CASE intent WHEN 'question' THEN 2 WHEN 'work' THEN 1 ELSE 0 END DESC, intent) AS rank FROM scores),
 ranked AS (SELECT message_id, intent, score, rank, round(least(0.92, 0.45 + 0.45 * score / top), 6) AS confidence FROM placed WHERE rank <= 8) """)
 
 
 def _said(spark: SparkSession, d: str) -> DataFrame:
-    return T.messages(spark, d).where("role = 'creator'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "text")
+    return T.messages(spark, d).where("role = 'creator'").select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), "text")
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:

@@ -278,7 +278,8 @@ SELECT 'replies: ' || (SELECT n FROM a) AS line, 0 AS place UNION ALL SELECT '-
 def report_lines(spark: SparkSession, d: str) -> DataFrame:
     total = R.within(T.audit_log(spark, d), START, END).agg(F.concat(F.lit("replies: "), F.count("*")).alias("line"), F.lit(0).alias("place"))
     keys = R.counts_by(R.within(T.keyword_log(spark, d), LOG_START, LOG_END), "key_words")  # one row for each keyword
-    return total.union(keys.select(F.concat(F.lit("- "), "key_words", F.lit(": "), "n"), F.row_number().over(Window.orderBy(F.desc("n"), "key_words"))))
+    placed = R.numbered(keys, [], [F.desc("n"), F.col("key_words").asc()], "place")
+    return total.union(placed.select(F.concat(F.lit("- "), "key_words", F.lit(": "), "n"), F.col("place").cast("int")))
 
 
 @query(with_tables("messages audit_log", r"""SELECT id, source, substr(creator_name, 1, 128) AS creator_name, substr(message_info, 1, 512) AS message_input,

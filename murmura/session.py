@@ -16,10 +16,12 @@ def session(name: str = "murmura", **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
+    """The shared folder that spark.checkpoint.dir names. Where it is unset: in local mode, as in tests, a temporary folder, and
+    on a cluster one in the warehouse, which executors share."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="murmura-checkpoint-")
+        local = context.master.split("[")[0] == "local"
+        folder = tempfile.mkdtemp(prefix="murmura-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/murmura-checkpoint"
         context.setCheckpointDir(folder)
     return folder

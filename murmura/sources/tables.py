@@ -24,7 +24,7 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = messages(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
     return lines.select(
         F.col("conv_id").alias("id"),
-        F.expr(f"{BASE} + make_dt_interval(0, cast(conv_id as int))").alias("create_time"),
+        F.expr(f"{BASE} + conv_id * interval 1 hour").alias("create_time"),
         F.concat(F.lit("shop_"), F.pmod("conv_id", F.lit(5))).alias("source"),
         F.concat(F.lit("creator_"), F.pmod("conv_id", F.lit(37))).alias("creator_name"),
         F.array_join("lines.line", "\n").alias("message_info"),

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.vectors import upserted
+from ..operators.vectors import refreshed, upserted
+from ..sources.sinks import Table
 
 
 def weekly_counts(events: DataFrame, key: str, time_col: str = "ts", late: str = "1 day") -> DataFrame:
@@ -21,15 +22,40 @@ def first_seen(events: DataFrame, keys: list[str], time_col: str = "ts", late: s
     return events.withWatermark(time_col, late).dropDuplicatesWithinWatermark(keys)
 
 
-def state_writer(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: state under path/<batch>, from the state of the batch before; a batch that is run again gives the same."""
+def state_writer(path: str, keys: list[str], order: str, keep: int = 3) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: state under path/<batch>, from the last one before it; a batch that is run again gives the same. The last
+    `keep` states stay, older ones go."""
 
     def write(batch: DataFrame, number: int) -> None:
-        changes = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("r")).select(*keys, "r.*")
-        if number == 0:
-            new = changes
+        spark = batch.sparkSession
+        table = Table(spark, path, batch.schema.toDDL())
+        before = [n for n in table.versions() if int(n[1:]) < number]
+        if before:
+            new = upserted(spark.read.parquet(f"{path}/{before[-1]}"), batch, keys, order)
         else:
-            new = upserted(batch.sparkSession.read.parquet(f"{path}/{number - 1}"), batch, keys, order)
-        new.write.mode("overwrite").parquet(f"{path}/{number}")
+            new = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("r")).select(*keys, "r.*")
+        new.write.mode("overwrite").parquet(f"{path}/v{number:08d}")
+        table.drop_old(keep)
+
+    return write
+
+
+def index_writer(path: str, key: str = "source_file", operation: str = "operation", keep: int = 3) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: an index by source, from change rows (index columns, operation): sources of a batch are removed, and its
+    rows that are not `deleted` put in. Versions are named by batch, so a batch that is run again gives the same."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            fresh = batch.where(F.col(operation) != "deleted").drop(operation)
+            table = Table(spark, path, fresh.schema.toDDL())
+            before = [n for n in table.versions() if int(n[1:]) < number]
+            gone = batch.select(key)
+            new = refreshed(spark.read.parquet(f"{path}/{before[-1]}"), fresh, gone, key) if before else fresh
+            new.select(*fresh.columns).write.mode("overwrite").parquet(f"{path}/v{number:08d}")
+            table.drop_old(keep)
+        finally:
+            batch.unpersist()
 
     return write

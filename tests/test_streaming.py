@@ -1,3 +1,4 @@
+from murmura.sources.sinks import Table
 from murmura.streaming import jobs
 
 
@@ -38,5 +39,21 @@ def test_state(spark, tmp_path):
     stream = source(spark, tmp_path, BATCHES)
     q = stream.writeStream.foreachBatch(jobs.state_writer(f"{tmp_path}/state", ["id"], "ts")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(int(p.name) for p in (tmp_path / "state").iterdir())
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/state/{last}").collect()) == [1, 2, 3, 4, 5, 6]
+    state = Table(spark, f"{tmp_path}/state", "id long, ts timestamp, kind string")
+    assert sorted(r.id for r in state.read().collect()) == [1, 2, 3, 4, 5, 6] and len(state.versions()) == 3
+    assert {r.kind for r in state.read().where("id = 2").collect()} <= {"a", "c"}
+
+
+def test_index_follows_changes(spark, tmp_path):
+    batches = [[("f", "added", 1), ("g", "added", 1)], [("f", "modified", 2), ("g", "deleted", 0)], [("h", "added", 3)]]
+    schema = "source_file string, operation string, n int"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    write = jobs.index_writer(f"{tmp_path}/index")
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    index = Table(spark, f"{tmp_path}/index", "source_file string, n int")
+    assert sorted(map(tuple, index.read().collect())) == [("f", 2), ("h", 3)]
+    write(spark.createDataFrame(batches[2], schema), 2)  # run again
+    assert sorted(map(tuple, index.read().collect())) == [("f", 2), ("h", 3)]
