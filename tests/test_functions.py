@@ -2,7 +2,6 @@
 
 from decimal import Decimal
 
-import pytest
 from murmura.functions import numbers as N
 from murmura.functions import text as X
 from murmura.operators import reports as R
@@ -86,12 +85,11 @@ def test_rules_match_without_a_cross_join(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_nearest_limits_queries(spark):
+def test_nearest_asks_in_blocks(spark):
     index = spark.createDataFrame([(i, [float(i == k) for k in range(4)]) for i in range(4)], "vec_id int, embedding array<float>")
     queries = index.selectExpr("vec_id as query_id", "embedding as vector")
     assert {(r.query_id, r.vec_id) for r in V.nearest(index, queries, 1).collect()} == {(i, i) for i in range(4)}
-    with pytest.raises(ValueError):
-        V.nearest(index, queries, 1, most_queries=3)
+    assert sorted(V.nearest(index, queries, 1, most_queries=3).collect()) == sorted(V.nearest(index, queries, 1).collect())
 
 
 def test_upsert(spark):
