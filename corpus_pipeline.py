@@ -1,7 +1,9 @@
 """A corpus pipeline: language, quality, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
-docs; the last returns packed pieces. Extra columns of docs are carried along, whatever they are called.
+docs; the last returns packed pieces. Extra columns of docs are carried along, whatever they are called. Of repeated rows the
+first two stages keep or drop all, near duplicates keep one, and the last two take each as a document of its own; an empty table
+gives an empty result in each.
 """
 
 from __future__ import annotations

@@ -305,13 +305,17 @@ def _fields(df: DataFrame, names: tuple[str, ...]) -> str:
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*keep, ids) of each row of docs, ids being packed little-endian unsigned 32-bit integers; a null text is empty.
 
-    tokenizer_path is a byte-level BPE file of the tokenizers library, local on every machine. keep must not name ids.
+    tokenizer_path is a byte-level BPE file of the tokenizers library, local on every machine. Repeated rows come out as often as they
+    came in; an empty table gives an empty result. keep must not name ids.
     """
     prepare(docs.sparkSession)
     return docs.select(*dict.fromkeys((*keep, text_col))).mapInArrow(_encode(tokenizer_path, text_col, keep), _fields(docs, keep) + "ids binary")
 
 
 def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*keep, decoded) of each row of rows, from packed ids; null ids are empty. An id outside the vocabulary is an error."""
+    """(*keep, decoded) of each row of rows, from packed ids; null ids are empty. An id outside the vocabulary is an error.
+
+    Repeated rows come out as often as they came in; an empty table gives an empty result. keep must not name decoded.
+    """
     prepare(rows.sparkSession)
     return rows.select(*dict.fromkeys((*keep, ids_col))).mapInArrow(_decode(tokenizer_path, ids_col, keep), _fields(rows, keep) + "decoded string")

@@ -265,7 +265,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
 
     lang_pred has most letters of the best path; score is its share of the letters, 0 to 1. A text that is null, empty or
     without a letter, or any text under a model that learned nothing, is `und` with score 0; letters of scripts that no
-    language uses count against the score, and a text of such letters only gets the most seen language with score 0. keep must not name the new columns; others of docs are not read.
+    language uses count against the score, and a text of such letters only gets the most seen language with score 0. Of
+    equal paths and equal shares the first language by name counts. Repeated rows come out as often as they came in; an empty table
+    gives an empty result. keep must not name the new columns; others of docs are not read.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

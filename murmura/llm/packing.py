@@ -255,7 +255,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row of docs.
 
     A document's ids are its text's (null: empty) with `end` after them; only a document of over `capacity` ids is cut.
-    A null id stays null; repeated rows are documents of their own. tokenizer_path is a local file on every machine.
+    A null id stays null; repeated rows are documents of their own; an empty table gives an empty result. tokenizer_path is a local file on every machine.
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -19,6 +19,8 @@ BATCH_ROWS = 512
 
 T = TypeVar("T")
 _memory: dict[str, object] = {}
+#: Tables that this driver has written, by application.
+_written: dict[str, list[str]] = {}
 
 
 def remembered(owner: str, make: Callable[[], T]) -> T:
@@ -31,11 +33,13 @@ def remembered(owner: str, make: Callable[[], T]) -> T:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where it is unset: in local mode, as in tests, a temporary
+    folder, and on a cluster one in the warehouse, which executors share."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="murmura-checkpoint-")
+        local = context.master.split("[")[0] == "local"
+        folder = tempfile.mkdtemp(prefix="murmura-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/murmura-checkpoint"
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -59,13 +63,24 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared checkpoint folder and read it back, so that lost executors cost no recomputation."""
+    """Write df as a table in the shared checkpoint folder and read it back, so that lost executors cost no recomputation.
+    The table stays until sweep is called or the folder is cleaned."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/murmura-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that materialize has written for this session, and return how many: once results have been used."""
+    context, n = spark.sparkContext, 0
+    for path in _written.pop(context.applicationId, []):
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True))
+    return n
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many (narrow) rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

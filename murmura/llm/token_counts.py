@@ -118,7 +118,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
     """(*keep, n_words, n_tokens) of each row of docs: its words at ASCII white space, and the pieces of a space and each word.
 
     Pieces are matched greedily, longest first, within a word. Null and empty texts have none; a word that the vocabulary
-    can't build counts as one piece. vocabulary_path is local on every machine. keep must not name the new columns.
+    can't build counts as one piece. vocabulary_path is local on every machine. Texts are read whole, however
+    long. Repeated rows come out as often as they came in; an empty table gives an empty result. keep must not name the new columns.
     """
     prepare(docs.sparkSession)
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)

@@ -260,7 +260,11 @@ def _fields(df: DataFrame, names: tuple[str, ...]) -> str:
 
 
 def store(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*keep, media): each row's text (null: empty), zero-padded to a positive multiple of 64 bytes, as a transport stream."""
+    """(*keep, media): each row's text (null: empty), zero-padded to a positive multiple of 64 bytes, as a transport stream.
+
+    Equal texts give equal streams. Repeated rows come out as often as they came in; an empty table gives an empty result. keep must
+    not name media.
+    """
     prepare(docs.sparkSession)
     return docs.select(*dict.fromkeys((*keep, text_col))).mapInArrow(_store(text_col, keep), _fields(docs, keep) + "media binary")
 
@@ -269,7 +273,8 @@ def read(rows: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("do
     """(*keep and what read_stream gives) of each row's transport stream; null, empty and foreign bytes have no streams or units.
 
     A damaged stream gives what can be read: bytes out of sync, packets with the error flag, gaps and repeats are counted,
-    and units that lack packets are not complete. keep must not name the new columns.
+    and units that lack packets are not complete. Repeated rows come out as often as they came in; an empty table gives an empty
+    result. keep must not name the new columns.
     """
     prepare(rows.sparkSession)
     return rows.select(*dict.fromkeys((*keep, media_col))).mapInArrow(_read(media_col, keep), _fields(rows, keep) + READ_SCHEMA)

@@ -87,7 +87,9 @@ def host_scores(ruled: DataFrame, damping: float = 0.85, rounds: int = 20) -> Da
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.5, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of each row of pages.
 
-    verdict is the rule's; without one, a host with distrust - trust over the threshold is blocked and any other allowed.
+    verdict is the rule's; without one, a host with distrust - trust over the threshold is blocked and any other allowed. Scores
+    are not normalised: a host starts with its own share of allowed or blocked pages, 0 to 1, so 0.5 is what a host has half of
+    whose pages are blocked, and what reaches a host along links is damped by each step. A score at the threshold is allowed.
     A null url, or one without ://, has an empty host and path, fits no rule and is allowed. Repeated rows come out as
     often as they came in, and a null id stays null; an empty table gives an empty result; other columns are not read.
     """

@@ -166,6 +166,47 @@ def test_links_carry_trust_and_distrust(spark):
     assert verdicts["spam.example"] == "block" and verdicts["a.example"] == "allow" and verdicts["mixed.example"] == "allow"
 
 
+def test_any_web_equals_brute_force_and_sql(spark, tmp_path):
+    """Cycles, hosts that link nowhere, links to hosts without pages, a hub, many links of one kind; in DuckDB too."""
+    import duckdb
+
+    from murmura.llm import queries
+
+    r = random.Random(12)
+    hosts = [f"h{i}.example" for i in range(12)] + ["a.net", "b.net", "c.org", "hub.example"]
+    links = {h: [r.choice(hosts) for _ in range(r.choice([0, 1, 3]))] for h in hosts}
+    links["h0.example"], links["h1.example"], links["h2.example"] = ["h1.example"], ["h2.example"], ["h0.example", "a.net"]  # a cycle that leads to a blocked host
+    links["hub.example"] = ["a.net"] * 20_000 + ["nowhere.example"] * 300
+    web = [page(h, *links[h], path="/fr/1" if h == "c.org" else "/x") for h in hosts]
+    web += [page("half.example", "b.net"), (None, web[0][1]), ("no url", "<a href='//a.net'>"), ("https://half.example/2", None)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(web)], "page_id long, url string, html string")
+    rows = filter_urls(pages, queries.URL_RULES, threshold=0.5, damping=0.85, rounds=20).collect()
+    flat = [(h, t) for h in hosts for t in links[h] if t != h] + [("half.example", "b.net")]
+    trust, distrust = brute_scores(flat, {"c.org": 1.0}, 0.85, 20), brute_scores([(b, a) for a, b in flat], {"a.net": 1.0, "b.net": 1.0}, 0.85, 20)
+    for x in rows:
+        assert x.trust == pytest.approx(trust.get(x.host, 0)) and x.distrust == pytest.approx(distrust.get(x.host, 0)), x.host
+    assert len({x.verdict for x in rows if x.rule is None}) == 2
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages/*.parquet')")
+        found = con.sql(queries.ORACLE_SQL["op10_url_filter"]).fetchall()
+    assert sorted(found) == sorted((x.page_id, x.host, x.path, x.rule, x.verdict) for x in rows)
+
+
+def test_a_score_at_the_threshold_is_allowed(spark):
+    pages = spark.createDataFrame([(1, "http://s.example/de/1", None), (2, "http://s.example/x", None)], "page_id long, url string, html string")
+    rules = [("s.example/de/", "block")]  # half of the host's pages
+    verdict = lambda t: {x.page_id: x.verdict for x in filter_urls(pages, rules, threshold=t).collect()}[2]
+    assert verdict(0.5) == "allow" and verdict(0.49) == "block"
+
+
+def test_very_long_pages_and_urls(spark):
+    long_url, long_page = "http://x.example/" + "a" * 200_000, "<p>" + "word " * 200_000 + '<a href="http://b.net/">'
+    pages = spark.createDataFrame([(1, long_url, long_page), (2, "http://b.net/", None)], "page_id long, url string, html string")
+    rows = {x.page_id: x for x in filter_urls(pages, RULES, threshold=0.5).collect()}
+    assert len(rows[1].path) == 200_001 and rows[1].verdict == "block" and rows[2].rule == "net/"
+
+
 def test_rules_and_urls(spark):
     urls = [
         ("http://x.net/a", "x.net", "/a", "net/", "block"), ("http://net/a", "net", "/a", "net/", "block"), ("http://xnet/a", "xnet", "/a", None, "allow"),
