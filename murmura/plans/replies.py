@@ -51,10 +51,10 @@ def _negotiates():
     return has_negotiation(F.col("shop"), F.array("tier"), HEAD)
 
 
-@query(f"WITH {SQL} SELECT s.request_id, amount_usd, raw_match, score, confidence FROM said s LEFT JOIN {_quote_sql('t')} q ON q.request_id = s.request_id")
+@query(f"WITH {SQL} SELECT s.request_id, CAST(amount_usd AS DOUBLE) AS amount_usd, raw_match, score, confidence FROM said s LEFT JOIN {_quote_sql('t')} q ON q.request_id = s.request_id")
 def quote_extract(spark: SparkSession, d: str) -> DataFrame:
     """The likely quote of each message (STR-13, SRT-04, NUM-08)."""
-    return requests(spark, d).select("request_id", Q.quote(F.col("message")).alias("q")).select("request_id", "q.amount_usd", "q.raw_match", "q.score", "q.confidence")
+    return requests(spark, d).select("request_id", Q.quote(F.col("message")).alias("q")).select("request_id", F.col("q.amount_usd").cast("double").alias("amount_usd"), "q.raw_match", "q.score", "q.confidence")
 
 
 _AGREED = lambda x: f"nullif(regexp_extract({x}, {text_sql(Q.AGREED)}, 0), '')"
@@ -71,13 +71,13 @@ picked AS (SELECT *, CASE WHEN scenario = 'creator_quote' THEN CASE WHEN own_amo
       WHEN {_S(Q.FLAT_FEE)} AND loose_amount IS NOT NULL THEN {{'amount_usd': loose_amount, 'source': 'creator_message', 'raw_match': loose_raw, 'confidence': loose_conf}} END) END AS q FROM scenes)"""
 
 
-@query(f"WITH {SQL}, {_WORDS}, {_SCENARIO} SELECT request_id, scenario, q.amount_usd AS amount_usd, q.source AS source, q.raw_match AS raw_match, q.confidence AS confidence FROM picked")
+@query(f"WITH {SQL}, {_WORDS}, {_SCENARIO} SELECT request_id, scenario, CAST(q.amount_usd AS DOUBLE) AS amount_usd, q.source AS source, q.raw_match AS raw_match, q.confidence AS confidence FROM picked")
 def quote_scenario(spark: SparkSession, d: str) -> DataFrame:
     """When a quote is looked for, and what it is (RPL-12, RPL-13)."""
     flags, top = R.reply_flags(F.col("message")), F.when(F.col("request_id") % 3 == 0, F.array(F.lit("priority_node:A3"))).otherwise(F.array().cast("array<string>"))
     rows = requests(spark, d).withColumn("scenario", Q.quote_scenario(_negotiates(), F.col("message"), F.col("intent"), F.lit(None).cast("string"), flags, top))
     rows = rows.withColumn("q", Q.scenario_quote(F.col("scenario"), F.col("message"), F.col("offer"), F.lit("")))
-    return rows.select("request_id", "scenario", "q.amount_usd", "q.source", "q.raw_match", "q.confidence")
+    return rows.select("request_id", "scenario", F.col("q.amount_usd").cast("double").alias("amount_usd"), "q.source", "q.raw_match", "q.confidence")
 
 
 @query(f"WITH {SQL}, {_WORDS} SELECT request_id, array_to_string(flags, ',') AS flags, refuses, low AS rejects_price, {_TWO} AS confirms, {_SAMPLE} AS asks_sample FROM facts")

@@ -67,12 +67,12 @@ def vector_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT o_custkey AS k, max(CAST(o_totalprice AS DECIMAL(18,2))) AS q, max(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END) AS s FROM orders GROUP BY 1)
-SELECT c_custkey, coalesce(q, CAST(c_acctbal AS DECIMAL(18,2))) AS quote, coalesce(s, c_mktsegment) AS segment, c_name FROM customer LEFT JOIN u ON k = c_custkey""")
+SELECT c_custkey, CAST(coalesce(q, CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS quote, coalesce(s, c_mktsegment) AS segment, c_name FROM customer LEFT JOIN u ON k = c_custkey""")
 def column_update(spark: SparkSession, d: str) -> DataFrame:
     """Columns of creators set where an update has a value (SNK-11, RPL-16, RUL-19)."""
     rows = T.table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)").alias("quote"), F.col("c_mktsegment").alias("segment"), "c_name")
     new = T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.col("o_totalprice").cast("decimal(18,2)")).alias("quote"), F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("segment"))
-    return sinks.column_updates(rows, new, "c_custkey")
+    return sinks.column_updates(rows, new, "c_custkey").withColumn("quote", F.col("quote").cast("double"))
 
 
 @query(with_tables("messages audit_log", """SELECT id, date_trunc('second', create_time + INTERVAL 250 MILLISECOND) AS create_time, substr(message_info, 1, 40) AS message_info, substr(trim(concat_ws(' ', CASE WHEN id % 2 = 0 THEN source END, CASE WHEN id % 3 <> 0 THEN '[campaign_id=' || id || ']' END)), 1, 30) AS comment FROM audit_log"""))

@@ -40,7 +40,7 @@ def flag_lists(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN ' High' WHEN 1 THEN 'medium' WHEN 2 THEN '0.8' WHEN 3 THEN '7' WHEN 4 THEN 'none' END AS label, CASE o_orderkey % 3 WHEN 0 THEN '1,' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') WHEN 1 THEN '-5' ELSE ' 12.5 ' END AS raw, o_totalprice FROM orders)
 SELECT o_orderkey, CASE lower(trim(label)) WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.65 WHEN 'low' THEN 0.35 ELSE CASE WHEN TRY_CAST(trim(label) AS DOUBLE) IS NOT NULL THEN least(1.0, greatest(0.0, TRY_CAST(trim(label) AS DOUBLE))) END END AS confidence,
 CASE WHEN TRY_CAST(regexp_replace(raw, '[,\\s]', '', 'g') AS DOUBLE) >= 0 THEN TRY_CAST(regexp_replace(raw, '[,\\s]', '', 'g') AS DOUBLE) END AS number, CAST(round(CAST(o_totalprice AS DECIMAL(18,4)) / 3, 2) AS DECIMAL(18,2)) AS quote,
-CASE o_orderkey % 4 WHEN 0 THEN 'gmv_high,vip' WHEN 1 THEN 'gmv_low' ELSE '' END AS flags FROM t""".replace("CAST(round(CAST(o_totalprice AS DECIMAL(18,4)) / 3, 2) AS DECIMAL(18,2))", "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(18,2))"))
+CASE o_orderkey % 4 WHEN 0 THEN 'gmv_high,vip' WHEN 1 THEN 'gmv_low' ELSE '' END AS flags FROM t""".replace("CAST(round(CAST(o_totalprice AS DECIMAL(18,4)) / 3, 2) AS DECIMAL(18,2))", "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)"))
 def label_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Labels and texts as numbers, quotes with two decimals, flags of levels (NUM-04, NUM-08, NUM-09, NUM-10)."""
     k = F.col("o_orderkey")
@@ -48,7 +48,7 @@ def label_numbers(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(k % 3 == 0, F.concat(F.lit("1,"), F.lpad((k % 1000).cast("string"), 3, "0"))).when(k % 3 == 1, "-5").otherwise(" 12.5 ")
     level = F.when(k % 4 == 0, " top").when(k % 4 == 1, "low").when(k % 4 == 2, "?")
     flags = V.level_flags(level, {"top": ("gmv_high", "vip"), "low": ("gmv_low",)})
-    return T.table(spark, d, "orders").select("o_orderkey", V.confidence(label).alias("confidence"), V.number_or_null(raw).alias("number"), V.quote_amount(F.col("o_totalprice").cast("decimal(18,2)")).alias("quote"), F.array_join(flags, ",").alias("flags"))
+    return T.table(spark, d, "orders").select("o_orderkey", V.confidence(label).alias("confidence"), V.number_or_null(raw).alias("number"), V.quote_amount(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("quote"), F.array_join(flags, ",").alias("flags"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS et, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN ' ' || lang END AS eb, source AS ti, substr(coalesce(text, ''), 1, 60) AS bo, CASE WHEN doc_id % 4 = 0 THEN ' step ' END AS pr FROM documents),
