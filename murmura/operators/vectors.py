@@ -17,36 +17,38 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
+def nearest(index: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000, where: str | None = None) -> DataFrame:
     """(query_id, vec_id, distance, rank) of the k nearest rows of index (vec_id, embedding, ...) for a stated set of queries
     (query_id, vector), by (distance to six decimals, vec_id).
 
+    where is SQL on columns of both (index as v, queries as q) that must hold for a pair, tested before its distance is computed.
     The queries are broadcast; each partition keeps k rows a query before rows are shuffled. More than most_queries are dealt
     by hash into blocks of about half as many, which are searched one after another, each result written to the checkpoint folder.
     """
     total = queries.count()
     if total <= most_queries:
-        return _nearest(index, queries, k)
+        return _nearest(index, queries, k, where)
     spark = index.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/murmura-nearest-{uuid.uuid4().hex}"
     blocks = -(-2 * total // most_queries)
-    dealt = queries.select("query_id", "vector").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     dealt.repartition("block").write.partitionBy("block").parquet(f"{folder}/queries")
     dealt = spark.read.schema(dealt.schema).parquet(f"{folder}/queries")
     for n in range(blocks):
-        found = _nearest(index, dealt.where(F.col("block") == n).drop("block"), k)
+        found = _nearest(index, dealt.where(F.col("block") == n).drop("block"), k, where)
         found.write.parquet(f"{folder}/found/block={n}")
     return spark.read.schema(found.schema).parquet(*[f"{folder}/found/block={n}" for n in range(blocks)])
 
 
-def _nearest(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _nearest(index: DataFrame, queries: DataFrame, k: int, where: str | None = None) -> DataFrame:
     as_double = lambda c: F.transform(c, lambda v: v.cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     # lengths are computed once a vector, before vectors meet
-    own = index.select("vec_id", as_double("embedding").alias("v")).withColumn("v_norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    asked = queries.select("query_id", as_double("vector").alias("q")).withColumn("q_norm", F.sqrt(dot(F.col("q"), F.col("q"))))
-    pairs = own.join(F.broadcast(asked), F.size("v") == F.size("q"))
-    distance = 1 - F.try_divide(dot(F.col("v"), F.col("q")), F.col("v_norm") * F.col("q_norm"))
+    own = index.withColumn("__v", as_double("embedding")).withColumn("__v_norm", F.sqrt(dot(F.col("__v"), F.col("__v")))).drop("embedding")
+    asked = queries.withColumn("__q", as_double("vector")).withColumn("__q_norm", F.sqrt(dot(F.col("__q"), F.col("__q")))).drop("vector")
+    meet = F.size("__v") == F.size("__q")
+    pairs = own.alias("v").join(F.broadcast(asked.alias("q")), meet & F.expr(where) if where else meet)
+    distance = 1 - F.try_divide(dot(F.col("__v"), F.col("__q")), F.col("__v_norm") * F.col("__q_norm"))
     rows = pairs.select("query_id", "vec_id", (F.round(distance, 6) + 0.0).alias("distance"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))  # Spark limits each partition first
     return rows.withColumn("rank", place).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
