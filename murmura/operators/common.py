@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df by hash of key in as many parts as shuffles have, however few files it comes from: for work that grows per row, and so that
+    what follows by key needs no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many (narrow) rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
