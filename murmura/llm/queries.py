@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, transport_stream
+from . import bpe, importance, language, licenses, mixing, transport_stream
 from . import quality as quality_rules
 from .jaccard import jaccard_components
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .url_filter import filter_urls
+from .whitening import whiten
 
 #: Rules of the URL filter: host and path in one, and what they decide.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -94,6 +95,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16)
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = mixing.mix(documents(spark, sf_dir), weights=(3, 1, 2), percent=150, most=2, block_words=1024)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance.resample(documents(spark, sf_dir), benchmark, n=1, buckets=10_000, least_words=20, percent=10, seed="2024")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_transport_stream": op2_transport_stream,
@@ -105,8 +120,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_source_mix": op12_source_mix,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -174,7 +193,61 @@ FROM ruled LEFT JOIN scores ON scores.host = ruled.host
 """
 
 
+#: Targets by the highest level at which no source is above its limit; what is taken are whole passes over a source's line and a part.
+_MIX_SQL = r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(concat_ws(':', doc_id, md5(text))) AS key FROM documents
+), sources AS MATERIALIZED (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM rows GROUP BY source
+), levels(round, level) AS (
+  SELECT 0, CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT round + 1, (SELECT (150 * sum(source_size) / 100 - coalesce(sum(CASE WHEN l.level * weight > 2 * source_size THEN 2 * source_size END), 0))
+    / sum(CASE WHEN l.level * weight > 2 * source_size THEN 0 ELSE weight END) FROM sources) FROM levels l WHERE round < 30
+), plan AS (
+  SELECT source, source_size, least(2.0 * source_size, level * weight) AS target FROM sources, (SELECT level FROM levels ORDER BY round DESC LIMIT 1)
+), lines AS (
+  SELECT r.doc_id, r.size, source_size, target, sum(size) OVER (PARTITION BY r.source ORDER BY key, r.doc_id ROWS UNBOUNDED PRECEDING) - size AS start,
+    CAST(floor(target + 0.5) AS BIGINT) AS goal FROM rows r JOIN plan p ON p.source IS NOT DISTINCT FROM r.source
+)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE goal // source_size * size + greatest(0, least(size, goal % source_size - start)) END AS BIGINT) AS taken FROM lines
+"""
+
+#: Words are lower-cased and cut out; a word's bucket is its CRC-32, computed byte by byte with the table of the polynomial.
+_IMPORTANCE_SQL = r"""
+WITH RECURSIVE steps(b, k, v) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM steps WHERE k < 8
+), crc_table AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8
+), docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), target AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), each AS MATERIALIZED (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(w) AS w FROM docs) GROUP BY doc_id, w
+), spelt AS (
+  SELECT w, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)) AS bytes FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM each UNION SELECT w FROM target))
+), buckets AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, t[1 + xor(c, b) % 256])), 4294967295) % 10000 AS bucket FROM spelt, crc_table
+), source_counts AS (SELECT bucket, sum(c) AS s FROM each JOIN buckets USING (w) GROUP BY bucket
+), target_counts AS (SELECT bucket, count(*) AS t FROM target JOIN buckets USING (w) GROUP BY bucket
+), sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM source_counts) AS s_all, (SELECT coalesce(sum(t), 0) FROM target_counts) AS t_all
+), gains AS (
+  SELECT bucket, floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS gain
+  FROM source_counts LEFT JOIN target_counts USING (bucket), sums
+), weights AS (SELECT doc_id, CAST(sum(c * gain) AS BIGINT) AS weight FROM each JOIN buckets USING (w) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (doc_id)
+), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_source_mix": _MIX_SQL,
+    "op13_importance_resampling": _IMPORTANCE_SQL,
     "op6_jaccard_join": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents

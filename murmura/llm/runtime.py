@@ -6,10 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import accumulate
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; a larger side is joined by a shuffle.
@@ -86,6 +87,19 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with position long: 0, 1, 2 ... in the given order. Rows are dealt by ranges and sorted in their parts; only the parts'
+    sizes meet. Rows that are equal in all of order are numbered in any order, but are dealt to one task."""
+    spark = df.sparkSession
+    parted = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("position", F.monotonically_increasing_id()), name)
+    part, place = F.shiftright("position", 33), F.col("position").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r.part, r["count"]) for r in parted.groupBy(part.alias("part")).count().collect())  # one row a partition
+    first = list(accumulate((n for _, n in sizes), initial=0))
+    before = spark.createDataFrame([(p, f) for (p, _), f in zip(sizes, first, strict=False)], "__part long, __first long")
+    found = parted.join(F.broadcast(before), part == F.col("__part"))
+    return found.withColumn("position", F.col("__first") + place).select(*df.columns, "position")
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """Texts of an Arrow column as UTF-8 bytes."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
