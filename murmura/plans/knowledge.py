@@ -105,7 +105,8 @@ def allowed_intents(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH declared AS (SELECT DISTINCT 'f' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.txt.html' WHEN 1 THEN '.html.html' WHEN 2 THEN '.txt' ELSE '.docx' END AS name FROM part), known AS (SELECT 'f' || p_partkey || CASE WHEN p_partkey % 4 = 1 THEN '.html' ELSE '.txt' END AS name FROM part WHERE p_partkey % 5 <> 0)
 SELECT name, CASE WHEN name IN (SELECT name FROM known) OR NOT regexp_matches(name, '\\.(txt|html)\\.html$') OR regexp_replace(name, '\\.html$', '') NOT IN (SELECT name FROM known) THEN name ELSE regexp_replace(name, '\\.html$', '') END AS resolved,
 CASE WHEN name IN (SELECT name FROM known) THEN 'same' WHEN regexp_matches(name, '\\.(txt|html)\\.html$') AND regexp_replace(name, '\\.html$', '') IN (SELECT name FROM known) THEN 'repaired' ELSE 'unknown' END AS how FROM declared""")
-def catalog_names(spark: SparkSession, d: str) -> DataFrame:
+def doubled_endings(spark: SparkSession, d: str) -> DataFrame:
+    """Declared file names whose doubled ending is repaired if the catalog has the rest (STR-25); catalog_names mends any typing error."""
     part, k = T.table(spark, d, "part"), F.col("p_partkey")
     declared = part.select(F.concat(F.lit("f"), k, F.when(k % 4 == 0, ".txt.html").when(k % 4 == 1, ".html.html").when(k % 4 == 2, ".txt").otherwise(".docx")).alias("name"))
     return K.resolved_names(declared, part.where("p_partkey % 5 <> 0").select(F.concat(F.lit("f"), k, F.when(k % 4 == 1, ".html").otherwise(".txt")).alias("name")))

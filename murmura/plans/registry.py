@@ -13,9 +13,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function of (spark, sf_dir) under its own name, with its SQL if SQL can express it."""
+    """Register a function of (spark, sf_dir) under its own name, with its SQL if SQL can express it. A name is given once."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered by {QUERIES[f.__name__].__module__} and {f.__module__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql

@@ -62,7 +62,8 @@ each AS (SELECT o_orderkey, lower(right(p[i], 40)) AS b, CAST(regexp_extract(p[i
 scored AS (SELECT o_orderkey, amount, 1 + """ + " + ".join(f"CASE WHEN contains(b, '{h}') THEN 2 ELSE 0 END" for h in X.QUOTE_HINTS) + " - " + " - ".join(f"CASE WHEN contains(b, '{h}') THEN 2 ELSE 0 END" for h in X.QUOTE_AGAINST) + """ AS score FROM each),
 best AS (SELECT o_orderkey, max({'score': score, 'amount': amount}) AS q FROM scored GROUP BY o_orderkey)
 SELECT o_orderkey, CAST(q.amount AS DOUBLE) AS amount, q.score AS score FROM best""")
-def quote_extract(spark: SparkSession, d: str) -> DataFrame:
+def quote_before_hints(spark: SparkSession, d: str) -> DataFrame:
+    """The dollar amount with the most hints before it; quote_extract weighs hints on both sides."""
     rows = T.table(spark, d, "orders").select("o_orderkey", F.expr(_QUOTE_TEXT.format(s="string")).alias("t"))
     return rows.withColumn("q", X.quote(F.col("t"))).select("o_orderkey", F.col("q.amount").cast("double").alias("amount"), F.col("q.score").alias("score"))
 
