@@ -113,7 +113,7 @@ def places(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """
     columns = [c for c in docs.columns if c != "source"]
     own = docs.join(if_small(plan.select("sid", F.col("source").alias("__source"))), F.col("source").eqNullSafe(F.col("__source")))
-    equal = own.groupBy("sid", *columns).agg(F.count("*").alias("copies")).withColumns({"part": F.substring("key", 1, 4), "width": F.col("size") * F.col("copies")})
+    equal = own.groupBy("sid", *columns).agg(F.count("*").alias("copies")).withColumns({"part": F.substring("key", 1, 3), "width": F.col("size") * F.col("copies")})
     order = [F.col(c) for c in ["key", *(c for c in columns if c != "key")]]
     placed = along(equal, "sid", "part", order, "width", "start")
     each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
