@@ -96,15 +96,15 @@ def resolved_names(declared: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.select("name", F.coalesce("same", "repaired", "name").alias("resolved"), how.alias("how"))
 
 
-def assigned(scores: DataFrame, group: str = "shop", least: float = 0.0) -> DataFrame:
-    """(group, slot, value, score): greedily one value for each slot and one slot for each value, by (-score, slot, value).
+def assigned(scores: DataFrame, group: str = "shop", least: float = 0.0, ties: Column | None = None) -> DataFrame:
+    """(group, slot, value, score): greedily one value for each slot and one slot for each value, by (-score, slot, ties, value).
 
     scores (group, slot, value, score) has each pair once. Greedy choice is made by rounds: a pair goes in once it is the best
     left for its slot and for its value. Each round is two minimums with map-side combining, so no group is held by one task,
     and is checkpointed.
     """
     checkpoint_dir(scores.sparkSession)
-    key = F.struct((-F.col("score")).alias("worse"), "slot", "value").alias("key")
+    key = F.struct((-F.col("score")).alias("worse"), "slot", *([] if ties is None else [ties.alias("ties")]), "value").alias("key")
     left = scores.where(F.col("score") >= least).select(group, "slot", "value", key).checkpoint()
     chosen = left.select(group, "key").limit(0)
     while not left.isEmpty():
