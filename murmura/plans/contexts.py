@@ -52,16 +52,6 @@ def negotiation_applied(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("k", F.array_join(progress, ",").alias("progress"), F.array_join(flags, ",").alias("flags"))
 
 
-@query(f"""WITH {SQL}, acts AS (SELECT request_id, creator_id, shop, CASE WHEN request_id % 6 = 0 THEN 'A' || (request_id % 4 + 1) END AS node, t, {said_sql("t", X.REFUSAL_PHRASES)} AS no FROM said)
-SELECT creator_id, shop, arg_max(no, request_id) AS shop_rejected, CAST(arg_max(substr(node, 2, 1), request_id) FILTER (WHERE node IS NOT NULL) AS INTEGER) AS round, count(*) AS replies FROM acts GROUP BY creator_id, shop""")
-def post_reply_updates(spark: SparkSession, d: str) -> DataFrame:
-    """What replies leave in the state of a creator in a shop: the last refusal, the round of the last matched node (RPL-15, RUL-19)."""
-    k = F.col("request_id")
-    rows = requests(spark, d).select(k, "creator_id", "shop", F.coalesce(F.col("message").rlike(X.REFUSAL_PHRASES), F.lit(False)).alias("no"), F.when(k % 6 == 0, (k % 4 + 1).cast("int")).alias("round"))
-    last = F.max_by("round", F.when(F.col("round").isNotNull(), k))
-    return rows.groupBy("creator_id", "shop").agg(F.max_by("no", "request_id").alias("shop_rejected"), last.alias("round"), F.count("*").alias("replies"))
-
-
 @query("""WITH c AS (SELECT DISTINCT p_brand || '/' || p_name || ' of the long catalog ' || (p_size % 7) || '.xlsx' AS name FROM part), d AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN name WHEN 1 THEN replace(name, 'catalog', 'catalgo') ELSE 'none ' || p_partkey END AS declared FROM (SELECT p_partkey, p_brand || '/' || p_name || ' of the long catalog ' || (p_size % 7) || '.xlsx' AS name FROM part)),
 n AS (SELECT declared, min(name) AS near FROM (SELECT declared, name FROM d JOIN c ON abs(length(declared) - length(name)) <= 4 AND 1 - CAST(levenshtein(declared, name) AS DOUBLE) / greatest(length(declared), length(name)) >= 0.95 WHERE declared NOT IN (SELECT name FROM c)) GROUP BY 1 HAVING count(*) = 1)
 SELECT d.declared, coalesce(c.name, near) AS name FROM d LEFT JOIN c ON c.name = d.declared LEFT JOIN n ON n.declared = d.declared""")

@@ -236,22 +236,3 @@ def state_merge(spark: SparkSession, d: str) -> DataFrame:
     state = T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("stored"), F.round(F.sum("o_totalprice"), 2).alias("stored_gmv"))
     default = F.upper(F.trim("asked")).isin("", "GEN")
     return req.join(state, "c_custkey", "left").select("c_custkey", F.when(default, F.coalesce("stored", F.lit("GEN"))).otherwise(F.col("asked")).alias("creator_type"), F.round(F.coalesce("asked_gmv", "stored_gmv"), 2).alias("gmv"))
-
-
-_REPLY = "concat(CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Join {link} now' WHEN 2 THEN concat('See ', url) WHEN 3 THEN 'See https://example.com/ok' ELSE 'It pays $40' END, CASE WHEN page_id % 3 = 0 THEN '' ELSE ' - Robin' END)"
-
-
-@query(r"""WITH r AS (SELECT page_id, """ + _REPLY + r""" AS t FROM pages)
-SELECT page_id, CASE WHEN trim(regexp_replace(t, ' - Robin$', '')) = '' THEN 'empty' WHEN NOT ends_with(t, '- Robin') THEN 'no signature' WHEN regexp_matches(t, '\{[A-Za-z_][A-Za-z0-9_]*\}') THEN 'placeholder'
-WHEN len(list_filter(regexp_extract_all(t, 'https?://[^\s<>"'')\]]+'), lambda u: u <> 'https://example.com/ok')) > 0 THEN 'unauthorised link' WHEN regexp_matches(t, '\$\s?[0-9]') THEN 'unauthorised amount' ELSE 'ok' END AS verdict FROM r""")
-def reply_guard(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions import text as X
-
-    t = F.col("t")
-    rows = T.table(spark, d, "pages").select("page_id", F.expr(_REPLY).alias("t"))
-    foreign = F.size(F.array_except(X.urls(t), F.array(F.lit("https://example.com/ok")))) > 0
-    verdict = (
-        F.when(F.trim(F.regexp_replace(t, " - Robin$", "")) == "", "empty").when(~F.endswith(t, F.lit("- Robin")), "no signature").when(t.rlike(X.PLACEHOLDER), "placeholder")
-        .when(foreign, "unauthorised link").when(t.rlike(r"\$\s?[0-9]"), "unauthorised amount").otherwise("ok")
-    )
-    return rows.select("page_id", verdict.alias("verdict"))

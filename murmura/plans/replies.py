@@ -149,26 +149,6 @@ def still_negotiating():
     return _negotiates() & F.coalesce(F.col("offer").rlike(R.OFFERED_COMMISSION), F.lit(False)) & (R.rejects_price(F.col("message"), F.col("offer")) | short | F.array_contains(R.reply_flags(F.col("message")), "reply_reject"))
 
 
-_STATUS = f"""CASE WHEN refused THEN 'withdrawn' WHEN rejected THEN 'silent' WHEN refuses AND NOT {_STILL} THEN 'goodbye' WHEN shop = 'north' AND answer IS NOT NULL THEN 'messenger' WHEN t = '' THEN 'no_message'
-  WHEN scripts = 0 THEN 'no_match' WHEN valid THEN 'replied' WHEN script_valid THEN 'replied_by_script' ELSE 'rejected' END"""
-
-
-@query(f"WITH {SQL}, {_WORDS}, scored AS (SELECT *, request_id % 4 AS scripts, request_id % 5 <> 0 AS valid, request_id % 2 = 0 AS script_valid FROM facts) SELECT request_id, {_STATUS} AS status FROM scored")
-def reply_status(spark: SparkSession, d: str) -> DataFrame:
-    """Where each request leaves the pipeline (RPL-01, RPL-02, RPL-08): the first gate that holds."""
-    return requests(spark, d).select("request_id", status_of(F.col("request_id") % 4, F.col("request_id") % 5 != 0, F.col("request_id") % 2 == 0).alias("status"))
-
-
-def status_of(scripts, valid, script_valid):
-    """Status of requests with so many scripts, whose reply is valid, or whose first script is."""
-    text = F.trim(F.coalesce(F.col("message"), F.lit("")))
-    return (
-        F.when(F.col("refused"), "withdrawn").when(F.col("rejected"), "silent").when(R.refuses_outreach(F.col("message")) & ~still_negotiating(), "goodbye")
-        .when((F.col("shop") == "north") & R.messenger_answer(F.col("message")).isNotNull(), "messenger").when(text == "", "no_message")
-        .when(scripts == 0, "no_match").when(valid, "replied").when(script_valid, "replied_by_script").otherwise("rejected")
-    )
-
-
 ACTION_NAMES = tuple(R.EFFECTS)
 _EFFECT = "CASE action " + " ".join(
     f"WHEN '{n}' THEN " + (f"CASE WHEN amount_usd IS NOT NULL THEN {{'kind': 'quote', 'target': '{t}', 'value': CAST(amount_usd AS VARCHAR), 'note': '{v}'}} ELSE {{'kind': 'none', 'target': NULL, 'value': NULL, 'note': 'no_amount_in_message'}} END" if k == "quote"

@@ -19,6 +19,11 @@ OFFERS = (
 TIERS, SHOPS = ("A-level", "B-level", "C-level", "GEN"), ("north", "south", "GEN")
 STEPS = ((), ("已加窗", "未申请批样"), ("未加窗",), ("已申请批样",), ("已加窗",))
 INTENTS = ("GEN", "interest", "Flat Fee", "Creator Quote", "ok")
+#: What a model might write: some of it must not be sent, some has slots left to fill.
+DRAFTS = (
+    "", "Thanks, talk soon.", "Join at https://evil.example/x.", "We can pay $999 now", "It is 77% of sales", "We answer within 9 days", "Please use {group_link}", "Apply here: {{form_url}} ok",
+    "Reply to [name] soon", "See https://portal.example/x!", "Join here: https://chat.example/north — Ada", "Use {form_url} or {group_link}!", "Views are {avgVV}, all pays ${total}", "That's fine - ada",
+)
 
 
 def pick(items: tuple[str, ...], n: Column) -> Column:
@@ -26,7 +31,7 @@ def pick(items: tuple[str, ...], n: Column) -> Column:
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    """(request_id, creator_id, shop, message, offer, tier, progress, intent, refused, rejected, language, sales): orders, every 97th
+    """(request_id, creator_id, shop, message, offer, tier, progress, intent, refused, rejected, language, sales, views, videos, draft): orders, every 97th
     without a message."""
     k = F.col("o_orderkey")
     steps = F.array(*[F.array(*map(F.lit, s)).cast("array<string>") for s in STEPS])
@@ -35,7 +40,8 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 97 != 0, pick(MESSAGES, k)).alias("message"), pick(OFFERS, F.floor(k / 7)).alias("offer"), pick(TIERS, F.floor(k / 5)).alias("tier"),
         F.element_at(steps, (F.floor(k / 3) % len(STEPS) + 1).cast("int")).alias("progress"), pick(INTENTS, F.floor(k / 11)).alias("intent"),
         (F.col("o_custkey") % 11 == 0).alias("refused"), (F.col("o_custkey") % 13 == 0).alias("rejected"), F.when(k % 2 == 0, "English").otherwise("zh-CN").alias("language"),
-        F.when(k % 6 != 0, F.col("o_totalprice").cast("double") / 50).alias("sales"),
+        F.when(k % 6 != 0, F.col("o_totalprice").cast("double") / 50).alias("sales"), F.when(k % 10 != 0, F.floor(F.col("o_totalprice")).cast("int")).alias("views"),
+        F.when(k % 3 == 0, (k % 8).cast("int")).alias("videos"), pick(DRAFTS, F.floor(k / 13)).alias("draft"),
     )
 
 
@@ -59,5 +65,6 @@ SQL = f"""requests AS (SELECT o_orderkey AS request_id, 'creator_' || o_custkey
   CASE WHEN o_orderkey % 97 <> 0 THEN {_pick(MESSAGES, "o_orderkey")} END AS message, {_pick(OFFERS, "(o_orderkey // 7)")} AS offer, {_pick(TIERS, "(o_orderkey // 5)")} AS tier,
   [{", ".join(map(list_sql, STEPS))}][CAST((o_orderkey // 3) % {len(STEPS)} + 1 AS INTEGER)] AS progress, {_pick(INTENTS, "(o_orderkey // 11)")} AS intent,
   o_custkey % 11 = 0 AS refused, o_custkey % 13 = 0 AS rejected, CASE WHEN o_orderkey % 2 = 0 THEN 'English' ELSE 'zh-CN' END AS language,
-  CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_totalprice AS DOUBLE) / 50 END AS sales FROM orders),
+  CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_totalprice AS DOUBLE) / 50 END AS sales, CASE WHEN o_orderkey % 10 <> 0 THEN CAST(floor(o_totalprice) AS INTEGER) END AS views,
+  CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 8 AS INTEGER) END AS videos, {_pick(DRAFTS, "(o_orderkey // 13)")} AS draft FROM orders),
 said AS (SELECT *, regexp_replace(coalesce(message, ''), '^\\s+|\\s+$', '', 'g') AS t FROM requests)"""
