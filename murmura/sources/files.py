@@ -68,6 +68,18 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.chunks\.json$", 1).alias("stem"))
 
 
+def written_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks that sinks.write_chunks has written, with their stem; empty if there are none."""
+    schema = f"{CHUNK}, stem string"
+    return optional(spark, lambda: spark.read.schema(schema).json(path), schema)
+
+
+def vectors_json(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """(id, embedding) of JSON files: arrays of objects or an object a line. Rows without an id or a vector are left out."""
+    rows = spark.read.schema("id string, embedding array<double>").option("multiLine", "false").option("pathGlobFilter", pattern).json(path)
+    return rows.where("id is not null and embedding is not null")
+
+
 def records(text: Column, schema: str) -> Column:
     """array of a structured document's records: an object with `records`, or a bare list; null for anything else."""
     whole = F.from_json(text, f"struct<records:array<struct<{schema}>>>")

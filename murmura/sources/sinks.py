@@ -1,12 +1,16 @@
-"""Writers: chunk and vector tables, manifests, audit rows, column updates, reports.
+"""Writers: tables with a commit log, chunk and vector files, manifests, audit rows, column updates, reports.
 
-Tables that are changed are kept as versions: a new one is written beside the last and then named in the table's pointer, so a
-reader sees one or the other, and a lost executor or driver leaves the last one whole. Older versions can be dropped.
+A table that changes is a log of commits: an entry names the folders that make up a version, one for each bucket of keys. Rows are
+written beside what is there; then the next entry is put in place, which only one writer can do, so another that began from the same
+version fails and begins again. Readers see whole versions. A change rewrites only the buckets that its keys fall in.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,45 +18,141 @@ from pyspark.sql import functions as F
 from .files import VECTOR, with_columns
 
 
+class Stale(RuntimeError):
+    """Another writer has committed since the version that a change began from."""
+
+
 def _at(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-class Table:
-    """A table that is replaced as a whole or in parts, in any store that Spark reads. Other writers at the same time are an error
-    of the caller; readers may be many."""
+def _put_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file in place as a whole unless there is one; whether it was put. The store's rename must refuse a name that is
+    taken, as HDFS does; on local disks, a hard link does."""
+    files, place = _at(spark, path)
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    files.mkdirs(place.getParent())
+    stream = files.create(_at(spark, temporary)[1], True)
+    stream.write(text.encode())
+    stream.close()
+    try:
+        if files.getUri().getScheme() != "file":
+            return files.rename(_at(spark, temporary)[1], place)
+        local = lambda p: p.removeprefix("file:")
+        os.link(local(temporary), local(path))
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        files.delete(_at(spark, temporary)[1], False)
 
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def versions(self) -> list[str]:
-        """Complete versions, oldest first."""
-        files, place = _at(self.spark, self.path)
-        if not files.exists(place):
-            return []
+class Table:
+    """A table in any store that Spark reads and whose rename refuses a name that is taken. Writers and readers may be many.
+
+    With keys and buckets, rows are dealt by the hash of their keys, and a change reads and writes the buckets of its keys only.
+    form is the rows' file format: parquet or json.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] | list[str] = (), buckets: int = 1, form: str = "parquet") -> None:
+        if buckets > 1 and not keys:
+            raise ValueError("buckets need keys")
+        self.spark, self.path, self.schema, self.keys, self.buckets, self.form = spark, path.rstrip("/"), schema, tuple(keys), buckets, form
+
+    def versions(self) -> list[int]:
+        """Numbers of the versions that are left, oldest first."""
+        files, place = _at(self.spark, f"{self.path}/_log")
+        names = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+        return sorted(int(n[:8]) for n in names if n.endswith(".json") and n[:8].isdigit() and len(n) == 13)
+
+    def entry(self, version: int | None = None) -> dict:
+        """What a version's log entry says: version, parts (bucket to folder) and the batches that it has taken in."""
+        version = (self.versions() or [0])[-1] if version is None else version
+        if not version:
+            return {"version": 0, "parts": {}, "batches": {}, "buckets": self.buckets}
+        files, place = _at(self.spark, f"{self.path}/_log/{version:08d}.json")
+        stream = files.open(place)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _rows(self, entry: dict, only: list[int] | None = None) -> DataFrame:
+        folders = [f"{self.path}/{f}" for k, f in entry["parts"].items() if only is None or int(k) in only]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        found = self.spark.read.format(self.form)
+        return with_columns((found.schema(self.schema) if self.form == "json" else found).load(folders), self.schema)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """A version, by default the last; empty before the first."""
+        return self._rows(self.entry(version))
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int") if self.keys else F.lit(0)
+
+    def write(self, rows: DataFrame) -> dict[str, str]:
+        """Put rows beside what is there and return bucket to folder; they count once they are committed."""
+        rows, folder = with_columns(rows, self.schema), f"data/{uuid.uuid4().hex}"
+        if self.buckets == 1:
+            rows.write.format(self.form).save(f"{self.path}/{folder}")
+            return {"0": folder}
+        rows.withColumn("__bucket", self.bucket()).repartition("__bucket").write.partitionBy("__bucket").format(self.form).save(f"{self.path}/{folder}")
+        files, place = _at(self.spark, f"{self.path}/{folder}")
         names = [s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()]
-        whole = [n for n in names if n.startswith("v") and files.exists(_at(self.spark, f"{self.path}/{n}/_SUCCESS")[1])]
-        return sorted(whole)
-
-    def read(self) -> DataFrame:
-        """The last version; empty before the first."""
-        found = self.versions()
-        return with_columns(self.spark.read.parquet(f"{self.path}/{found[-1]}"), self.schema) if found else self.spark.createDataFrame([], self.schema)
+        return {n.partition("=")[2]: f"{folder}/{n}" for n in names if n.startswith("__bucket=")}
+
+    def commit(self, base: dict, parts: dict[str, str], gone: list[int] = (), batch: tuple[str, int] | None = None) -> dict:
+        """Make a version of base's parts without the buckets `gone`, and new ones over them. Stale if base is not the last any more."""
+        kept = {k: f for k, f in base["parts"].items() if int(k) not in set(gone)}
+        entry = {"version": base["version"] + 1, "parts": kept | parts, "batches": base["batches"] | ({batch[0]: batch[1]} if batch else {}), "buckets": self.buckets}
+        if not _put_once(self.spark, f"{self.path}/_log/{entry['version']:08d}.json", json.dumps(entry)):
+            raise Stale(f"{self.path}: version {entry['version']} is another writer's")
+        return entry
+
+    def change(self, make: Callable[[DataFrame], DataFrame], touched: DataFrame | None = None, batch: tuple[str, int] | None = None, tries: int = 5) -> dict:
+        """Replace rows by make(rows): those in the buckets of touched (with the key columns), or all. The new log entry.
+
+        make gives rows of the same buckets only. If another writer commits meanwhile, the change is made again from its version. A batch
+        (name of the run, number) that the table has taken in already changes nothing.
+        """
+        for _ in range(tries):
+            base = self.entry()
+            if base["buckets"] != self.buckets and base["version"]:
+                raise ValueError(f"{self.path} has {base['buckets']} buckets")
+            if batch and base["batches"].get(batch[0], -1) >= batch[1]:
+                return base
+            some = list(range(self.buckets)) if touched is None or self.buckets == 1 else [r.b for r in touched.select(self.bucket().alias("b")).distinct().collect()]
+            parts = self.write(make(self._rows(base, some)))
+            try:
+                return self.commit(base, parts, some, batch)
+            except Stale:
+                self._delete({f.split("/__bucket=")[0] for f in parts.values()})
+        raise Stale(f"{self.path}: {tries} other commits")
 
     def replace(self, rows: DataFrame) -> int:
-        """Write rows as the next version and return its number of rows."""
-        found = self.versions()
-        at = f"{self.path}/v{(int(found[-1][1:9]) if found else 0) + 1:08d}-{uuid.uuid4().hex[:8]}"
-        with_columns(rows, self.schema).write.parquet(at)
-        return self.spark.read.parquet(at).count()
+        """Make rows the next version and return its number of rows."""
+        self.change(lambda _: rows)
+        return self.read().count()
 
-    def drop_old(self, keep: int = 2) -> None:
-        for name in self.versions()[:-keep]:
+    def _delete(self, folders: set[str]) -> None:
+        for name in folders:
             files, place = _at(self.spark, f"{self.path}/{name}")
             files.delete(place, True)
 
+    def drop_old(self, keep: int = 2) -> None:
+        """Forget all but the last versions, and delete the folders that only they named."""
+        numbers = self.versions()
+        entries = {n: self.entry(n) for n in numbers}
+        used = {f for n in numbers[-keep:] for f in entries[n]["parts"].values()}
+        old = {f for n in numbers[:-keep] for f in entries[n]["parts"].values()} - used
+        whole = {f.split("/__bucket=")[0] for f in used}
+        for n in numbers[:-keep]:
+            self._delete({f"_log/{n:08d}.json"})
+        self._delete(old | {f.split("/__bucket=")[0] for f in old} - whole)
+
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], latest: str) -> DataFrame:
     """Old and new rows, of each key the latest one (by that column; of equal ones the new). The rest of a row comes with it."""
@@ -68,20 +168,53 @@ def without(old: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(table: Table, new: DataFrame, keys: list[str], latest: str) -> int:
-    return table.replace(upserted(table.read(), new, keys, latest))
+    """Put new rows in, of each key the latest; the number of rows then. Of a bucketed table only their buckets are rewritten."""
+    new = with_columns(new, table.schema)
+    table.change(lambda old: upserted(old, new, keys, latest), new)
+    return table.read().count()
 
 
 def delete(table: Table, gone: DataFrame, key: str) -> int:
     """Remove rows by key and return how many went."""
-    old = table.read()
-    before = old.count()
-    return before - table.replace(without(old, gone, key))
+    before = table.read().count()
+    table.change(lambda old: without(old, gone, key), gone if table.keys == (key,) else None)
+    return before - table.read().count()
 
 
 def add_vectors(table: Table, new: DataFrame) -> int:
     """Add vectors; of an id that is there already, the new row counts."""
     rows = with_columns(new, VECTOR)
-    return table.replace(without(table.read(), rows, "id").unionByName(rows))
+    table.change(lambda old: without(old, rows, "id").unionByName(rows), rows if table.keys == ("id",) else None)
+    return table.read().count()
+
+
+def drop_duplicates(table: Table, keys: list[str], order: str) -> int:
+    """Keep of each key the row with the least order, and return how many rows went."""
+    before = table.read().count()
+
+    def least(old: DataFrame) -> DataFrame:
+        row = F.struct(*[c for c in old.columns if c not in keys])
+        return old.groupBy(*keys).agg(F.min_by(row, order).alias("__row")).select(*keys, "__row.*").select(*old.columns)
+
+    table.change(least)
+    return before - table.read().count()
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON, a folder for each source document (stem); files.written_chunks reads them."""
+    chunks.repartition("stem").write.partitionBy("stem").mode("overwrite").json(path)
+
+
+def write_vectors_json(vectors: DataFrame, path: str) -> None:
+    """Ids and vectors as JSON, a line each; files.vectors_json reads them."""
+    vectors.select("id", "embedding").write.mode("overwrite").json(path)
+
+
+def hierarchy_json(tree: DataFrame) -> DataFrame:
+    """(shop, value): the nested JSON of each shop's tree (shop, tier, progress, intent): tiers, their progress, their intents in order."""
+    intents = tree.groupBy("shop", "tier", "progress").agg(F.array_sort(F.collect_set("intent")).alias("intents"))
+    steps = intents.groupBy("shop", "tier").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("progress", "intents")))).alias("steps"))
+    return steps.groupBy("shop").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", "steps"))))).alias("value"))
 
 
 def reset(table: Table) -> int:

@@ -22,40 +22,37 @@ def first_seen(events: DataFrame, keys: list[str], time_col: str = "ts", late: s
     return events.withWatermark(time_col, late).dropDuplicatesWithinWatermark(keys)
 
 
-def state_writer(path: str, keys: list[str], order: str, keep: int = 3) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: state under path/<batch>, from the last one before it; a batch that is run again gives the same. The last
-    `keep` states stay, older ones go."""
+def state_writer(path: str, keys: list[str], order: str, keep: int = 3, buckets: int = 64, run: str = "state") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: state under path, of each key the latest row. A batch rewrites only the buckets that its keys fall in.
+
+    A batch that is run again changes nothing: the table's log names the last one of a run. Give a new run with a new checkpoint. The last
+    `keep` versions stay, what only older ones name goes.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        table = Table(spark, path, batch.schema.toDDL())
-        before = [n for n in table.versions() if int(n[1:]) < number]
-        if before:
-            new = upserted(spark.read.parquet(f"{path}/{before[-1]}"), batch, keys, order)
-        else:
-            new = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("r")).select(*keys, "r.*")
-        new.write.mode("overwrite").parquet(f"{path}/v{number:08d}")
+        table = Table(batch.sparkSession, path, batch.schema.toDDL(), keys, buckets)
+        batch = batch.persist()  # read for its buckets and for its rows
+        try:
+            table.change(lambda old: upserted(old, batch, keys, order), batch, (run, number))
+        finally:
+            batch.unpersist()
         table.drop_old(keep)
 
     return write
 
 
-def index_writer(path: str, key: str = "source_file", operation: str = "operation", keep: int = 3) -> Callable[[DataFrame, int], None]:
+def index_writer(path: str, key: str = "source_file", operation: str = "operation", keep: int = 3, buckets: int = 64, run: str = "index") -> Callable[[DataFrame, int], None]:
     """For foreachBatch: an index by source, from change rows (index columns, operation): sources of a batch are removed, and its
-    rows that are not `deleted` put in. Versions are named by batch, so a batch that is run again gives the same."""
+    rows that are not `deleted` put in, bucket by bucket. A batch that is run again changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
         try:
             fresh = batch.where(F.col(operation) != "deleted").drop(operation)
-            table = Table(spark, path, fresh.schema.toDDL())
-            before = [n for n in table.versions() if int(n[1:]) < number]
-            gone = batch.select(key)
-            new = refreshed(spark.read.parquet(f"{path}/{before[-1]}"), fresh, gone, key) if before else fresh
-            new.select(*fresh.columns).write.mode("overwrite").parquet(f"{path}/v{number:08d}")
-            table.drop_old(keep)
+            table = Table(batch.sparkSession, path, fresh.schema.toDDL(), [key], buckets)
+            table.change(lambda old: refreshed(old, fresh, batch.select(key), key).select(*fresh.columns), batch, (run, number))
         finally:
             batch.unpersist()
+        table.drop_old(keep)
 
     return write

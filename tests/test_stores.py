@@ -86,3 +86,81 @@ def test_requests_and_records(spark):
     assert [tuple(r) for r in found] == [("s", "1"), (None, None), (None, None)]
     texts = spark.createDataFrame([('[{"id": "1"}]',), ('{"records": [{"id": "2"}, {"id": "3"}]}',), ("{}",), (None,)], "t string")
     assert [None if r.x is None else [i.id for i in r.x] for r in texts.select(files.records(F.col("t"), "id string").alias("x")).collect()] == [["1"], ["2", "3"], None, None]
+
+
+def test_second_writer_from_one_version_fails_and_tries_again(spark, tmp_path):
+    schema, path = "k int, v int", str(tmp_path / "t")
+    one, two = (sinks.Table(spark, path, schema) for _ in range(2))
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    base = two.entry()
+    one.replace(rows((1, 1)))
+    with pytest.raises(sinks.Stale):
+        two.commit(base, two.write(rows((2, 2))))
+    assert one.read().count() == 1 == len(two.versions())
+    calls = []
+
+    def make(old):
+        if not calls:  # another writer comes in between
+            one.change(lambda old: old.union(rows((3, 3))))
+        calls.append(1)
+        return old.union(rows((2, 2)))
+
+    two.change(make)
+    assert sorted(map(tuple, two.read().collect())) == [(1, 1), (2, 2), (3, 3)] and len(calls) == 2
+    assert one.read(2).count() == 2  # an older version is still whole
+
+
+def test_a_change_of_one_key_writes_one_bucket(spark, tmp_path):
+    table = sinks.Table(spark, str(tmp_path / "t"), "k int, v int", ["k"], 16)
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, v int")
+    assert sinks.upsert(table, rows(*[(i, 1) for i in range(300)]), ["k"], "v") == 300
+    first = table.entry()
+    assert sinks.upsert(table, rows((7, 2)), ["k"], "v") == 300
+    second = table.entry()
+    changed = [k for k in second["parts"] if second["parts"][k] != first["parts"][k]]
+    assert len(changed) == 1 and table.read().where("v = 2").count() == 1
+    written = {p.name for p in (tmp_path / "t" / second["parts"][changed[0]].split("/__")[0]).iterdir() if p.is_dir()}
+    assert written == {f"__bucket={changed[0]}"}
+    assert sinks.delete(table, rows((7, 0)), "k") == 1 and table.read().where("k = 7").count() == 0
+    assert table.read(first["version"]).count() == 300
+    table.drop_old(1)
+    assert table.versions() == [3] and table.read().count() == 299
+    with pytest.raises(ValueError, match="16 buckets"):
+        sinks.upsert(sinks.Table(spark, str(tmp_path / "t"), "k int, v int", ["k"], 4), rows((1, 1)), ["k"], "v")
+
+
+def test_batches_are_taken_in_once(spark, tmp_path):
+    table = sinks.Table(spark, str(tmp_path / "t"), "k int", ["k"], 4)
+    add = lambda *x: (lambda old: old.union(spark.createDataFrame([(i,) for i in x], "k int")))
+    for number, ids in ((0, (1,)), (1, (2,)), (1, (2,)), (0, (1,))):
+        table.change(add(*ids), spark.createDataFrame([(i,) for i in ids], "k int"), ("run", number))
+    assert sorted(r.k for r in table.read().collect()) == [1, 2] and len(table.versions()) == 2
+    table.change(add(1), spark.createDataFrame([(1,)], "k int"), ("another", 0))
+    assert table.read().count() == 3
+
+
+def test_json_tables_and_duplicates(spark, tmp_path):
+    table = sinks.Table(spark, str(tmp_path / "t"), "k int, v array<double>, n int", form="json")
+    table.replace(spark.createDataFrame([(1, [1.5], 2), (1, [2.5], 1), (2, None, 5)], table.schema))
+    assert sinks.drop_duplicates(table, ["k"], "n") == 1
+    assert sorted(map(tuple, table.read().collect())) == [(1, [2.5], 1), (2, None, 5)]
+
+
+def test_chunks_and_vectors_as_json(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "é", "a"), ("2", None, "a"), ("1", "x", "b/c")], "id string, title string, stem string")
+    sinks.write_chunks(rows, str(tmp_path / "c"))
+    assert sorted((r.stem, r.id, r.title) for r in files.written_chunks(spark, str(tmp_path / "c")).collect()) == [("a", "1", "é"), ("a", "2", None), ("b/c", "1", "x")]
+    assert files.written_chunks(spark, str(tmp_path / "none")).collect() == []
+    sinks.write_vectors_json(spark.createDataFrame([("v", [1.0, -2.5])], "id string, embedding array<double>"), str(tmp_path / "v"))
+    (tmp_path / "v" / "more.json").write_text('[{"id": "w", "embedding": [3]}, {"id": "x"}]')
+    assert sorted(map(tuple, files.vectors_json(spark, str(tmp_path / "v")).collect())) == [("v", [1.0, -2.5]), ("w", [3.0])]
+
+
+def test_database_by_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(50).selectExpr("id", "cast(id % 3 as int) n").write.format("jdbc").option("url", url).option("dbtable", "APP.T").option("driver", "org.apache.derby.jdbc.EmbeddedDriver").save()
+    read = lambda **o: files.database(spark, url, "APP.T", driver="org.apache.derby.jdbc.EmbeddedDriver", **o)
+    assert read().where("n = 1").count() == 17
+    parted = read(key="id", bounds=(0, 50), parts=4)
+    assert parted.rdd.getNumPartitions() == 4 and parted.count() == 50
+    assert "n" in read().where("n = 1")._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
