@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import intents as I
+from ..operators import pivots as P
 from ..operators import rules as L
 from ..operators import vectors as V
+from ..session import checkpoint_dir
 from ..sources import tables as T
 from ..sources.tables import with_tables
 from .registry import query
@@ -131,6 +135,15 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return V.nearest(T.table(spark, d, "embeddings"), _asked(spark, d), 24)
 
 
+@query("WITH " + _NEAR.format(where="", k=24))
+def vector_topk_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an index clustered by pivots, where clusters and vectors out of reach are skipped (VEC-03, SRT-01)."""
+    index = T.table(spark, d, "embeddings")
+    centres = P.pivots(index, 64)
+    found, _ = P.nearest(P.clustered(index, centres, f"{checkpoint_dir(spark).rstrip('/')}/murmura-pivots-{uuid.uuid4().hex}"), centres, _asked(spark, d), 24)
+    return found
+
+
 @query("WITH " + _NEAR.format(where=" AND (v.label % 3 = 1 OR v.label = 2)", k=3))
 def vector_where(spark: SparkSession, d: str) -> DataFrame:
     return V.nearest(T.table(spark, d, "embeddings").where("label % 3 = 1 or label = 2"), _asked(spark, d), 3)

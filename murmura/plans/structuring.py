@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import replies as R
+from ..operators import intents as I
 from ..operators import structuring as K
 from ..sources import tables as T
-from ..sources.requests import SQL, requests, text_sql
+from ..sources.requests import SQL, list_sql, requests, said_sql, text_sql
 from .registry import query
 
 
@@ -137,9 +139,38 @@ SELECT request_id, CASE WHEN said.t = '' THEN 'GEN' WHEN e.intent IS NOT NULL TH
 FROM said LEFT JOIN e ON e.t = said.t LEFT JOIN k ON k.t = said.t AND k.p = 1""")
 def intent_classify(spark: SparkSession, d: str) -> DataFrame:
     """The cascade of exact replies, keywords and greetings, in its mode without a model (INT-01, INT-02, INT-03, INT-13)."""
-    from ..operators.intents import classified
-
     rules = lambda rows, name: spark.createDataFrame(rows, f"intent string, {name} string, priority int")
-    return classified(requests(spark, d).select("request_id", "message"), rules(EXACT, "reply"), rules(WORDS, "keyword"))
+    return I.classified(requests(spark, d).select("request_id", "message"), rules(EXACT, "reply"), rules(WORDS, "keyword"))
+
+
 
 
+#: Intents that some requests allow only.
+SCOPES, ALIKE = ((), ("price", "group"), ("agree", "No obvious intention"), ("CPM Rate", "sample"), ()), (("price", "sample"),)
+_ALLOWED = lambda x: f"(len(allowed) = 0 OR list_contains(allowed, {x}) OR ({x} IN ('price', 'sample') AND list_has_any(allowed, ['price', 'sample'])))"
+
+
+@query(f"""WITH {SQL}, exact(intent, reply, priority) AS (VALUES {_VALUES(EXACT)}), words(intent, w, priority) AS (VALUES {_VALUES(WORDS)}),
+asked AS (SELECT request_id, t, lower(t) AS low, [{", ".join(map(list_sql, SCOPES))}][CAST(request_id // 3 % {len(SCOPES)} + 1 AS INTEGER)] AS allowed, coalesce(shop = 'north' AND tier = 'A-level' AND t <> ''
+  AND {said_sql("t", R.TOO_LOW)} AND {said_sql("offer", R.OFFERED_COMMISSION)}, false) AS refused FROM said),
+e AS (SELECT lower(reply) AS low, arg_min(intent, [lpad(CAST(100 - priority AS VARCHAR), 4, '0'), intent]) AS exact FROM exact GROUP BY 1),
+s AS (SELECT low, intent, max(priority) AS priority, sum(CASE WHEN NOT contains(low, w) THEN 0 WHEN regexp_matches(w, '[^\\x00-\\x7F]') OR length(w) > 4 THEN 2 ELSE 1 END) AS score FROM (SELECT DISTINCT low FROM asked WHERE low <> ''), words GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY low ORDER BY score DESC, priority DESC, intent) AS place, max(score) OVER (PARTITION BY low) AS most FROM s WHERE score > 0),
+base AS (
+  SELECT request_id, intent, least(0.92, 0.45 + CAST(score AS DOUBLE) / most * 0.45) AS confidence, 'keyword' AS matched_by, place FROM asked JOIN p USING (low) WHERE place <= 8
+  UNION ALL SELECT request_id, coalesce(exact, 'No obvious intention'), CASE WHEN exact IS NULL THEN 0.65 ELSE 0.9 END, CASE WHEN exact IS NULL THEN 'keyword' ELSE 'exact' END, 1 FROM asked LEFT JOIN e USING (low) WHERE low NOT IN (SELECT low FROM p) AND (exact IS NOT NULL OR regexp_matches(low, '^(hi|hello|hey|thanks|thank you)\\b'))
+  UNION ALL SELECT request_id, 'CPM Rate', 0.92, 'refined', 0 FROM asked WHERE refused
+), alone AS (SELECT request_id, exact AS intent, 0.9 AS confidence, 'exact' AS matched_by, 1 AS place FROM asked JOIN e USING (low) WHERE {_ALLOWED("exact")}),
+kept AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY confidence DESC, place) AS rank FROM (SELECT * FROM alone UNION ALL SELECT b.* FROM base b JOIN asked a USING (request_id) WHERE b.request_id NOT IN (SELECT request_id FROM alone) AND low <> '' AND confidence >= 0.5 AND {_ALLOWED("b.intent")})),
+tops AS (SELECT request_id, string_agg(intent || ' ' || printf('%.4f', confidence) || ' ' || matched_by, '; ' ORDER BY rank) AS intents, arg_min(intent, rank) AS top, max(confidence) AS best FROM kept WHERE rank <= 3 GROUP BY request_id)
+SELECT a.request_id, coalesce(intents, '') AS intents, coalesce(top, 'GEN') AS intent, CASE WHEN best >= 0.75 THEN 'high' WHEN best >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM asked a LEFT JOIN tops t USING (request_id)""")
+def intent_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The best three intents of each message within its scope, and the first of them (INT-07, INT-08, INT-13, INT-14)."""
+    rules = lambda rows, name: spark.createDataFrame(rows, f"intent string, {name} string, priority int")
+    k = F.floor(F.col("request_id") / 3) % len(SCOPES) + 1
+    allowed = F.element_at(F.array(*[F.array(*map(F.lit, s)).cast("array<string>") for s in SCOPES]), k.cast("int"))
+    refuses = (F.col("shop") == "north") & (F.col("tier") == "A-level") & R.rejects_price(F.col("message"), F.col("offer"))
+    rows = requests(spark, d).select(F.col("request_id").alias("message_id"), "message", allowed.alias("allowed"), refuses.alias("refuses_price"))
+    found = I.ranking(rows, rules(EXACT, "reply"), rules(WORDS, "keyword"), ALIKE).withColumn("first", I.single(F.col("intents")))
+    shown = F.array_join(F.transform("intents", lambda c: F.concat_ws(" ", c["intent"], F.format_number(c["confidence"], 4), c["matched_by"])), "; ")
+    return found.select(F.col("message_id").alias("request_id"), shown.alias("intents"), "first.intent", "first.confidence")

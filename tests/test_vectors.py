@@ -1,5 +1,8 @@
-"""Vector search with more queries than are broadcast at once."""
+"""Vector search with more queries than are broadcast at once, and by an index clustered by pivots."""
 
+import numpy as np
+import pytest
+from murmura.operators import pivots as P
 from murmura.operators import vectors as V
 from pyspark.sql import functions as F
 
@@ -13,3 +16,31 @@ def test_many_queries_are_asked_in_blocks(spark):
     in_blocks = V.nearest(index, asked, 5, most_queries=10)
     assert asked.count() > 10 and in_blocks.dtypes == at_once.dtypes
     assert sorted(in_blocks.collect()) == sorted(at_once.collect()) != []
+
+
+KIND = "vec_id long, embedding array<double>"
+
+
+@pytest.mark.parametrize(("seed", "spread", "k"), [(1, 0.05, 5), (2, 0.3, 1), (3, 2.0, 7), (4, 0.0, 3)])
+def test_clusters_give_the_same_and_compare_less(spark, tmp_path, seed, spread, k):
+    r = np.random.default_rng(seed)
+    centres = r.standard_normal((12, 8))
+    rows = [(i, (centres[i % 12] + spread * r.standard_normal(8)).tolist()) for i in range(600)]
+    index = spark.createDataFrame(rows, KIND).repartition(3)
+    asked = index.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = sorted(tuple(x) for x in V.nearest(index, asked, k).collect())
+    found, compared = P.nearest(P.clustered(index, p := P.pivots(index, 24), str(tmp_path / "i")), p, asked, k)
+    assert sorted(tuple(x) for x in found.collect()) == want and found.columns == ["query_id", "vec_id", "distance", "rank"]
+    if spread < 1:
+        assert compared < 600 * 12 / 2
+
+
+def test_awkward_vectors(spark, tmp_path):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (7, [0.0, 2.0]), (8, [0.0, 2.0]), (9, []), (None, [3.0, 0.0])]
+    index = spark.createDataFrame(rows, KIND)
+    p = P.pivots(index, 8)
+    built = P.clustered(index, p, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0])], "query_id int, vector array<double>")
+    found, _ = P.nearest(built, p, asked, 10)
+    assert [(x.query_id, x.vec_id, x.distance) for x in found.orderBy("rank").collect()] == [(1, None, 0.0), (1, 1, 0.0), (1, 7, 1.0), (1, 8, 1.0)]
+    assert P.nearest(built, p, asked.limit(0), 3)[0].collect() == [] and P.pivots(index.limit(0)).size == 0
