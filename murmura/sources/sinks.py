@@ -212,9 +212,10 @@ def write_vectors_json(vectors: DataFrame, path: str) -> None:
 
 def hierarchy_json(tree: DataFrame) -> DataFrame:
     """(shop, value): the nested JSON of each shop's tree (shop, tier, progress, intent): tiers, their progress, their intents in order."""
+    by = lambda key: lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
     intents = tree.groupBy("shop", "tier", "progress").agg(F.array_sort(F.collect_set("intent")).alias("intents"))
     steps = intents.groupBy("shop", "tier").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("progress", "intents")))).alias("steps"))
-    return steps.groupBy("shop").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", "steps"))))).alias("value"))
+    return steps.groupBy("shop").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", "steps")), by("tier")))).alias("value"))
 
 
 def reset(table: Table) -> int:
