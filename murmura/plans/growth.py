@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chains as C
+from ..operators import labels as L
 from ..operators import vocabulary as V
-from ..sources import sinks
+from ..sources import dispatch, sinks
 from ..sources import tables as T
 from ..sources.requests import list_sql, text_sql
 from .registry import query
@@ -111,9 +112,57 @@ def alias_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT DISTINCT p_brand AS shop, 'T' || p_size % 4 AS tier, 'step' || p_size % 3 AS progress, p_type AS intent FROM part),
-i AS (SELECT shop, tier, progress, '"' || progress || '":["' || string_agg(intent, '","' ORDER BY intent) || '"]' AS j FROM t GROUP BY ALL), s AS (SELECT shop, tier, '"' || tier || '":{' || string_agg(j, ',' ORDER BY progress) || '}' AS j FROM i GROUP BY shop, tier)
+i AS (SELECT shop, tier, progress, '"' || progress || '":["' || string_agg(intent, '","' ORDER BY intent) || '"]' AS j FROM t GROUP BY shop, tier, progress), s AS (SELECT shop, tier, '"' || tier || '":{' || string_agg(j, ',' ORDER BY progress) || '}' AS j FROM i GROUP BY shop, tier)
 SELECT shop, '{' || string_agg(j, ',' ORDER BY tier) || '}' AS value FROM s GROUP BY shop""")
 def hierarchy_documents(spark: SparkSession, d: str) -> DataFrame:
     """The hierarchy of each shop as nested JSON (SNK-08)."""
     rows = T.table(spark, d, "part").select(F.col("p_brand").alias("shop"), F.concat(F.lit("T"), F.col("p_size") % 4).alias("tier"), F.concat(F.lit("step"), F.col("p_size") % 3).alias("progress"), F.col("p_type").alias("intent"))
     return sinks.hierarchy_json(rows)
+
+
+_SLOT_LISTS = (("wa_group_1k", "other_slot"), (), ("affiliate_link_x", "commission_rate_gmv"), ("whatsapp_form_a", "wa_group_1k"), (" ",))
+_INFORMATION = ((), ("WA Group",), ("commission rate", "Affiliate_Link", "nothing"), (), (" ", "WA group", "form"))
+_RECORD_TEXT = "CASE p_partkey % 4 WHEN 0 THEN 'see {ai_ugc_portal} and {wa_group_2}' WHEN 1 THEN NULL WHEN 2 THEN '{commission_rate_gmv} {commission_rate_gmv}' ELSE p_name END"
+_VALUED = ("wa_group_1k", "wa_group_2", "affiliate_link_x", "commission_rate_gmv", "whatsapp_form_a", "ai_ugc_portal")
+
+
+@query(f"""WITH prefixes(prefix, tag) AS (VALUES {", ".join(f"('{p}', '{t}')" for p, t in (("wa_group_", "whatsapp_group"), ("whatsapp_form_", "whatsapp_form"), ("affiliate_link_", "affiliate_link"), ("commission_rate_", "commission_rate"), ("ai_ugc_", "ai_ugc_portal"), ("wa_", "wa_other")))}),
+r AS (SELECT p_partkey AS record_id, p_brand AS shop, list_filter({"[" + ", ".join(map(list_sql, _SLOT_LISTS)) + "]"}[CAST(p_partkey % 5 + 1 AS INTEGER)], lambda s: trim(s) <> '') AS named, {_RECORD_TEXT} AS content,
+  list_filter({"[" + ", ".join(map(list_sql, _INFORMATION)) + "]"}[CAST(p_partkey // 3 % 5 + 1 AS INTEGER)], lambda s: trim(s) <> '') AS own FROM part),
+s AS (SELECT *, list_concat(named, list_filter(regexp_extract_all(coalesce(content, ''), '\\{{([a-zA-Z0-9_]+)\\}}', 1), lambda x: NOT list_contains(named, x))) AS slots FROM r),
+valued AS (SELECT DISTINCT p_brand AS shop, {list_sql(_VALUED)}[CAST(p_size % {len(_VALUED)} + 1 AS INTEGER)] AS slot FROM part WHERE p_size % 9 <> 0), words AS (SELECT DISTINCT p_brand AS shop, CASE p_size % 3 WHEN 0 THEN 'whatsapp_group' WHEN 1 THEN 'commission_rate' ELSE 'ai_ugc_portal' END AS tag FROM part WHERE p_brand LIKE '%1'),
+rows AS (SELECT record_id, s.shop, i, slots[i] AS slot FROM s, unnest(range(1, len(slots) + 1)) u(i)),
+tagged AS (SELECT record_id, r.shop, i, (SELECT tag FROM prefixes p WHERE starts_with(r.slot, p.prefix) ORDER BY length(p.prefix) DESC LIMIT 1) AS tag FROM rows r JOIN valued v ON v.shop = r.shop AND v.slot = r.slot),
+backed AS (SELECT record_id, t.shop, t.tag, min(i) AS i FROM tagged t WHERE t.tag IS NOT NULL AND (t.shop NOT IN (SELECT shop FROM words) OR EXISTS (SELECT 1 FROM words w WHERE w.shop = t.shop AND w.tag = t.tag)) GROUP BY 1, 2, 3),
+items AS (SELECT record_id, shop, u.i, lower(trim(own[u.i])) AS low FROM s, unnest(range(1, len(own) + 1)) u(i)),
+given AS (SELECT x.record_id, b.tag, x.i FROM items x JOIN backed b ON b.record_id = x.record_id AND (x.low = b.tag OR (b.tag = 'whatsapp_group' AND x.low IN ('wa group', 'group')) OR (b.tag = 'commission_rate' AND x.low = 'commission rate'))),
+chosen AS (SELECT * FROM given UNION ALL SELECT record_id, tag, i FROM backed WHERE record_id IN (SELECT record_id FROM s WHERE len(own) = 0)),
+shown AS (SELECT record_id, CASE tag WHEN 'whatsapp_group' THEN 'WA group' ELSE replace(tag, '_', ' ') END AS label, min(i) AS i FROM chosen GROUP BY 1, 2)
+SELECT record_id, string_agg(label, '|' ORDER BY i) AS labels FROM shown GROUP BY record_id""")
+def key_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of key information of records, from their slots, what shops have values for, and words for it (KB-13, KB-14)."""
+    k, part = F.col("p_partkey"), T.table(spark, d, "part")
+    lists = lambda items, n: F.element_at(F.array(*[F.array(*map(F.lit, i)).cast("array<string>") for i in items]), (n % len(items) + 1).cast("int"))
+    records = part.select(k.alias("record_id"), F.col("p_brand").alias("shop"), lists(_SLOT_LISTS, k).alias("slots"), F.expr(_RECORD_TEXT).alias("content"), F.lit(None).cast("string").alias("encontent"), lists(_INFORMATION, F.floor(k / 3)).alias("information"))
+    valued = part.where("p_size % 9 <> 0").select(F.col("p_brand").alias("shop"), F.element_at(F.array(*map(F.lit, _VALUED)), F.col("p_size") % len(_VALUED) + 1).alias("slot"), F.lit("v").alias("value"))
+    words = part.where("p_brand like '%1'").select(F.col("p_brand").alias("shop"), F.expr("CASE p_size % 3 WHEN 0 THEN 'whatsapp_group' WHEN 1 THEN 'commission_rate' ELSE 'ai_ugc_portal' END").alias("tag")).distinct()
+    spelt = spark.createDataFrame([("whatsapp_group", 0, "WA group"), ("whatsapp_group", 1, "group"), ("commission_rate", 0, "commission rate")], "tag string, place int, alias string")
+    aliases = part.select(F.col("p_brand").alias("shop")).distinct().join(spelt)
+    prefixes = L.fixed_prefixes(part).union(spark.createDataFrame([("wa_", "wa_other")], "prefix string, tag string"))
+    return L.labels(records, valued, words, aliases, prefixes).select("record_id", F.array_join("labels", "|").alias("labels"))
+
+
+_FILE = "concat('page', page_id, CASE page_id % 4 WHEN 0 THEN '.html' WHEN 1 THEN '.TXT' WHEN 2 THEN '.json' ELSE '.docx' END)"
+_FILE_TEXT = """CASE page_id % 4 WHEN 0 THEN concat('<h1>Section ', page_id, '</h1><h2>Intent</h2><p>', repeat('body ', 40), page_id, '</p><h3>Case</h3>', repeat('more ', 20))
+  WHEN 1 THEN concat('Notes{n}1. first of ', page_id, '{n}  2. second', '{n}3. ', repeat('long ', 20)) WHEN 2 THEN concat('{{"records": [{{"title": "t', page_id, '", "content": "c"}}, {{"title": "u", "intent_category": "i"}}]}}') ELSE 'none' END"""
+
+
+@query(f"""WITH f AS (SELECT page_id, {_FILE} AS source_file, page_id % 4 AS kind FROM pages)
+SELECT source_file, seq, intent_category, title, content FROM (
+  SELECT source_file, 1 AS seq, 'Intent' AS intent_category, 'Intent' AS title, trim(repeat('body ', 40) || page_id) AS content FROM f WHERE kind = 0 UNION ALL SELECT source_file, 2, 'Intent', 'Case', trim(repeat('more ', 20)) FROM f WHERE kind = 0
+  UNION ALL SELECT source_file, 1, 'GEN', 'first of ' || page_id, 'first of ' || page_id FROM f WHERE kind = 1 UNION ALL SELECT source_file, 2, 'GEN', 'second', 'second' FROM f WHERE kind = 1 UNION ALL SELECT source_file, 3, 'GEN', rtrim(substr(trim(repeat('long ', 20)), 1, 72)) || '...', trim(repeat('long ', 20)) FROM f WHERE kind = 1
+  UNION ALL SELECT source_file, 1, NULL, 't' || page_id, 'c' FROM f WHERE kind = 2 UNION ALL SELECT source_file, 2, 'i', 'u', NULL FROM f WHERE kind = 2)""")
+def dispatched_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Files of three kinds to their chunkers in one plan (CHK-07, SRC-13)."""
+    found = T.table(spark, d, "pages").select(F.expr(_FILE).alias("source_file"), F.expr(_FILE_TEXT.format(n="\\n")).alias("text"))
+    return dispatch.chunked(found)
