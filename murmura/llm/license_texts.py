@@ -1,5 +1,7 @@
 """Known licenses, notices and equivalent spellings for license scans."""
 
+from importlib import resources
+
 # Words that stand for the same in license texts, the second being kept.
 EQUIVALENT = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
@@ -82,3 +84,6 @@ NOTICES = {
     "MIT": "Released under the MIT License.",
     "MIT SPDX": "SPDX-License-Identifier: MIT",
 }
+
+# Whole public texts, a file each, named by their usual short names.
+TEXTS |= {p.name.removesuffix(".txt"): p.read_text("utf-8") for p in sorted((resources.files(__package__) / "license_data").iterdir(), key=lambda p: p.name) if p.name.endswith(".txt")}

@@ -263,3 +263,11 @@ def test_license_of_very_long_text(spark):
     long_text = "\n".join(["just a line of words"] * 50_000 + ["SPDX-License-Identifier: MIT"])
     row = licenses.scan(spark.createDataFrame([(1, long_text)], "doc_id long, text string")).first()
     assert row.license_id is None and row.notices in {"", *NOTICES}
+
+
+def test_whole_public_licenses_are_known(spark):
+    whole = {k: v for k, v in licenses.TEXTS.items() if len(v) > 5_000}
+    assert {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(whole)
+    rows = [(i, "Copyright (c) 2020 Somebody\n" + v.upper().replace("\n", "\r\n").replace(", ", " , ")) for i, v in enumerate(whole.values())] + [(99, whole["GPL-3.0"] + " more")]
+    found = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(whole)) | {99: None}
