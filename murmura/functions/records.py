@@ -10,17 +10,33 @@ from .text import stripped
 #: Short refusals, once trailing dots and exclamation marks are gone, and phrases that refuse.
 SHORT_REFUSALS = ("no", "nope", "nah", "pass", "decline", "not interested", "no thanks", "no thank you", "not for me")
 REFUSAL_PHRASES = r"(?i)\b(?:not interested|no thanks|no thank you|don'?t want|won'?t|can'?t do|pass)\b"
-#: Other spellings of actions.
+#: Spellings of actions, in lower case, and what they are called.
 ACTIONS = {
+    "one_sample_two_videos": "one_sample_two_videos",
+    "one sample two videos": "one_sample_two_videos",
     "b_level_one_sample_two_videos": "one_sample_two_videos",
-    "send_cpm_offer_estimate": "send_cpm_offer",
-    "log_creators_minimum_rate_to_quote_sheet": "log_creator_quote",
-    "log_creator_minimum_rate_to_quote_sheet": "log_creator_quote",
-    "push_commission_rate_and_sample_form": "push_commission_sample",
-    "send_a1_pure_commission_opening": "send_a1_opening",
-    "send_whatsapp_group_invite_link": "send_whatsapp_group_link",
-    "add_to_ai_ugc_roster_send_portal_link": "add_to_ai_ugc_roster",
-    "add_to_dnc_list_stop_all_outreach": "mark_dnc",
+    "join_wa_1": "join_wa_1",
+    "join_wa_2": "join_wa_2",
+    "send flat fee offer": "send_flat_fee_offer",
+    "send_cpm_offer": "send_cpm_offer",
+    "send cpm offer + estimate": "send_cpm_offer",
+    "send cpm offer estimate": "send_cpm_offer",
+    "log creator's minimum rate to quote sheet": "log_creator_quote",
+    "log creator minimum rate to quote sheet": "log_creator_quote",
+    "log creators minimum rate to quote sheet": "log_creator_quote",
+    "push commission rate and sample form": "push_commission_sample",
+    "send a1 pure commission opening": "send_a1_opening",
+    "send whatsapp group invite link": "send_whatsapp_group_link",
+    "send_whatsapp_group_link": "send_whatsapp_group_link",
+    "send affiliate link": "send_affiliate_link",
+    "send_affiliate_link": "send_affiliate_link",
+    "add to ai ugc roster, send portal link": "add_to_ai_ugc_roster",
+    "add to ai ugc roster send portal link": "add_to_ai_ugc_roster",
+    "add_to_ai_ugc_roster": "add_to_ai_ugc_roster",
+    "add to dnc list, stop all outreach": "mark_dnc",
+    "add to dnc list stop all outreach": "mark_dnc",
+    "mark_dnc": "mark_dnc",
+    "flat_fee_agreed": "flat_fee_agreed",
 }
 #: Fixed value: endings that an intent's name loses.
 INTENT_ENDINGS = r"(?i)\s+(?:Negotiation|Handling|Enrollment|Interest|Transfer|Support)\s*$"
@@ -77,12 +93,12 @@ def last_bracket(lines: Column) -> Column:
 
 
 def action(raw: Column, aliases: dict[str, str] = ACTIONS) -> Column:
-    """An action's name in lower case with underscores, other spellings as the usual one."""
-    name = F.regexp_replace(F.regexp_replace(F.lower(F.trim(raw)), r"[\s\-]+", "_"), r"[^\w]", "")
-    out = name
-    for other, usual in aliases.items():
-        out = F.when(name == other, F.lit(usual)).otherwise(out)
-    return out
+    """An action's usual name: by its name in lower case with underscores and without other signs, else by its text in lower case;
+    any other is called by that name. Letters of any script stay; a blank one is empty."""
+    low = F.lower(stripped(raw))
+    name = F.regexp_replace(F.regexp_replace(low, r"[\s\-]+", "_"), r"(?U)[^\w]", "")
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return F.when(name == "", "").otherwise(F.coalesce(F.try_element_at(known, name), F.try_element_at(known, low), name))
 
 
 def refuses(message: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .common import if_small
 
 GENERAL = "GEN"
 
@@ -57,7 +58,7 @@ def fields_of(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 def invalid_values(records: DataFrame, allowed: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, value) of values outside allowed (field, value); a field without allowed values takes any."""
-    rows = fields_of(records, key, fields).join(F.broadcast(allowed.groupBy("field").agg(F.lit(True).alias("known"))), "field", "left_semi")  # at most one row a field
+    rows = fields_of(records, key, fields).join(if_small(allowed.groupBy("field").agg(F.lit(True).alias("known"))), "field", "left_semi")
     return rows.join(allowed, ["field", "value"], "left_anti").select(key, "field", "value")
 
 

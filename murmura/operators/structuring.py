@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import if_small
+
 from ..functions.text import stripped, urls
 
 
@@ -45,7 +47,7 @@ def slots_of_shops(slots: DataFrame) -> DataFrame:
     """(shop, slots): of each shop, its own slots and the general ones, sorted."""
     general = slots.where("shop = 'GEN'").select("slot")
     shops = slots.where("shop <> 'GEN'").select("shop").distinct()
-    each = slots.where("shop <> 'GEN'").select("shop", "slot").union(shops.crossJoin(F.broadcast(general)))
+    each = slots.where("shop <> 'GEN'").select("shop", "slot").union(shops.crossJoin(if_small(general)))
     return each.groupBy("shop").agg(F.sort_array(F.collect_set("slot")).alias("slots"))
 
 

@@ -189,7 +189,7 @@ def outreach_refusals(spark: SparkSession, d: str) -> DataFrame:
 _ACTION = "CASE p_partkey % 4 WHEN 0 THEN ' Send CPM offer + estimate' WHEN 1 THEN 'Mark-DNC' WHEN 2 THEN 'Add to DNC list, stop all outreach' ELSE p_brand END"
 
 
-@query(f"WITH t AS (SELECT p_partkey, {_ACTION} AS raw FROM part) SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'send_cpm_offer_' || 'estimate' WHEN 1 THEN 'mark_dnc' WHEN 2 THEN 'mark_dnc' ELSE lower(replace(raw, '#', '')) END AS action FROM t".replace("'send_cpm_offer_' || 'estimate'", "'send_cpm_offer__estimate'"))
+@query(f"WITH t AS (SELECT p_partkey, {_ACTION} AS raw FROM part) SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'send_cpm_offer' WHEN 1 THEN 'mark_dnc' WHEN 2 THEN 'mark_dnc' ELSE lower(replace(raw, '#', '')) END AS action FROM t")
 def action_names(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "part").select("p_partkey", X.action(F.expr(_ACTION)).alias("action"))
 

@@ -59,7 +59,7 @@ def test_message_text(spark, info, want):
     assert one(spark, X.message_text(F.col("t")), t=info) == want
 
 
-@pytest.mark.parametrize("raw, want", [("  Send flat-fee  offer!", "send_flat_fee_offer"), ("", ""), ("Add to DNC list, stop all outreach", "mark_dnc"), (None, None)])
+@pytest.mark.parametrize("raw, want", [("  Send flat-fee  offer!", "send_flat_fee_offer"), ("", ""), ("Add to DNC list, stop all outreach", "mark_dnc"), (" Send CPM offer + estimate", "send_cpm_offer"), ("Log creator’s 报价", "log_creators_报价"), ("log creator's minimum rate to quote sheet", "log_creator_quote"), (" - ", "_"), ("!", ""), (None, None)])
 def test_action(spark, raw, want):
     assert one(spark, X.action(F.col("t")), t=raw) == want
 

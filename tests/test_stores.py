@@ -164,3 +164,23 @@ def test_database_by_jdbc(spark, tmp_path):
     parted = read(key="id", bounds=(0, 50), parts=4)
     assert parted.rdd.getNumPartitions() == 4 and parted.count() == 50
     assert "n" in read().where("n = 1")._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+
+
+def test_checkpoint_folders_are_shared(spark):
+    from murmura import session
+
+    assert session.shared_folder("local[4]", "file:/w", "file:///").startswith("/tmp")
+    assert session.shared_folder("yarn", "hdfs://n/w/", "file:///") == "hdfs://n/w/murmura-checkpoint" == session.shared_folder("k8s://x", "hdfs://n/w", "file:///")
+    assert session.shared_folder("yarn", "/w", "hdfs://n") == "/w/murmura-checkpoint"
+    for warehouse, store in (("file:/w", "hdfs://n"), ("/w", "file:///")):
+        with pytest.raises(ValueError, match="share"):
+            session.shared_folder("spark://x:7077", warehouse, store)
+
+
+def test_sweep(spark):
+    from murmura import session
+
+    session.sweep(spark)
+    spark.range(3).write.parquet(f"{session.checkpoint_dir(spark)}/murmura-something")
+    spark.range(3).write.parquet(f"{session.checkpoint_dir(spark)}/other")
+    assert session.sweep(spark) == 1 == session.sweep(spark) + 1 and spark.read.parquet(f"{session.checkpoint_dir(spark)}/other").count() == 3
