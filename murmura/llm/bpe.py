@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, remembered, utf8
+from .runtime import prepare, refuse, remembered, utf8
 
 _S = r"[\t-\r \x85\xa0  -     　]"
 _NOT = r"[^\t-\r \x85\xa0  -     　\p{L}\p{N}]"
@@ -309,6 +309,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: t
     came in; an empty table gives an empty result. keep must not name ids.
     """
     prepare(docs.sparkSession)
+    refuse(keep, ["ids"])
     return docs.select(*dict.fromkeys((*keep, text_col))).mapInArrow(_encode(tokenizer_path, text_col, keep), _fields(docs, keep) + "ids binary")
 
 
@@ -318,4 +319,5 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: tup
     Repeated rows come out as often as they came in; an empty table gives an empty result. keep must not name decoded.
     """
     prepare(rows.sparkSession)
+    refuse(keep, ["decoded"])
     return rows.select(*dict.fromkeys((*keep, ids_col))).mapInArrow(_decode(tokenizer_path, ids_col, keep), _fields(rows, keep) + "decoded string")

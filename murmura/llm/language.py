@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, remembered, utf8
+from .runtime import prepare, refuse, remembered, utf8
 
 #: Hash buckets of character grams.
 BUCKETS = 1 << 15  # the 15 highest bits of a hash
@@ -270,6 +270,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     gives an empty result. keep must not name the new columns; others of docs are not read.
     """
     prepare(docs.sparkSession)
+    refuse(keep, ["lang_pred", "score", "spans"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*dict.fromkeys((*keep, text_col)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)

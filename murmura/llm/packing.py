@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize, prepare, remembered, utf8
+from .runtime import materialize, prepare, refuse, remembered, utf8
 
 #: Pieces of one length that are ranked in one group, on average.
 RANKED = 50_000
@@ -167,6 +167,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     An empty table gives an empty result.
     """
     spark = pieces.sparkSession
+    refuse(pieces.columns, ["rank", "salt", "first_rank", "sequence_id", "offset"])
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     segments = spark.sparkContext.broadcast(_segments(plan(counts, capacity)))
     salts = max(1, -(-max(counts.values(), default=0) // RANKED))

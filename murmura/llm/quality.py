@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, utf8
+from .runtime import prepare, refuse, utf8
 from .words import mix, windows, word_hashes
 
 #: Bytes that a word can't have, symbols, and all bytes but a code point's first.
@@ -228,6 +228,7 @@ def quality(docs: DataFrame, crf: Crf, text_col: str = "text", keep: tuple[str,
     keep must not name the new columns; others of docs are not read.
     """
     prepare(docs.sparkSession)
+    refuse(keep, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"])
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     rows = docs.select(*dict.fromkeys((*keep, text_col)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)

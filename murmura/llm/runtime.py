@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from itertools import accumulate
 from typing import TypeVar
@@ -35,12 +35,17 @@ def remembered(owner: str, make: Callable[[], T]) -> T:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir. Where it is unset: in local mode, as in tests, a temporary
-    folder, and on a cluster one in the warehouse, which executors share."""
+    folder, and on a cluster one in the warehouse, which must then be in a store that executors share, not on local disks."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        local = context.master.split("[")[0] == "local"
-        folder = tempfile.mkdtemp(prefix="murmura-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/murmura-checkpoint"
+        warehouse, store = spark.conf.get("spark.sql.warehouse.dir"), context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if context.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="murmura-checkpoint-")
+        elif (warehouse if ":" in warehouse else store).startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share: the warehouse is on local disks")
+        else:
+            folder = f"{warehouse.rstrip('/')}/murmura-checkpoint"
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -51,6 +56,12 @@ def prepare(spark: SparkSession) -> None:
     checkpoint_dir(spark)
 
 
+def refuse(given: Iterable[str], new: Iterable[str]) -> None:
+    """An error if columns that are kept have names that the result needs."""
+    if clashes := set(given) & set(new):
+        raise ValueError(f"kept columns must not be called {', '.join(sorted(clashes))}")
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of so many rows, for narrow tables, while a table is materialized."""

@@ -14,7 +14,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import prepare, remembered, utf8
+from .runtime import prepare, refuse, remembered, utf8
 
 _MEMORY = 1_000_000
 
@@ -122,5 +122,6 @@ def token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
     long. Repeated rows come out as often as they came in; an empty table gives an empty result. keep must not name the new columns.
     """
     prepare(docs.sparkSession)
+    refuse(keep, ["n_words", "n_tokens"])
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return docs.select(*dict.fromkeys((*keep, text_col))).mapInArrow(_count(vocabulary_path, text_col, keep), fields + "n_words long, n_tokens long")

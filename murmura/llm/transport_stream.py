@@ -13,8 +13,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
-from .runtime import prepare, utf8
+from .runtime import prepare, refuse, utf8
 
 # Fixed values of the format and of the streams written here.
 PACKET, SYNC = 188, 0x47
@@ -266,6 +267,7 @@ def store(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
     not name media.
     """
     prepare(docs.sparkSession)
+    refuse(keep, ["media"])
     return docs.select(*dict.fromkeys((*keep, text_col))).mapInArrow(_store(text_col, keep), _fields(docs, keep) + "media binary")
 
 
@@ -277,4 +279,5 @@ def read(rows: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("do
     result. keep must not name the new columns.
     """
     prepare(rows.sparkSession)
+    refuse(keep, StructType.fromDDL(READ_SCHEMA).names)
     return rows.select(*dict.fromkeys((*keep, media_col))).mapInArrow(_read(media_col, keep), _fields(rows, keep) + READ_SCHEMA)

@@ -271,3 +271,15 @@ def test_whole_public_licenses_are_known(spark):
     rows = [(i, "Copyright (c) 2020 Somebody\n" + v.upper().replace("\n", "\r\n").replace(", ", " , ")) for i, v in enumerate(whole.values())] + [(99, whole["GPL-3.0"] + " more")]
     found = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == dict(enumerate(whole)) | {99: None}
+
+
+def test_kept_columns_that_clash_are_refused(spark, awkward):
+    from murmura.llm import bpe, language, packing, quality, token_counts, transport_stream
+
+    named = lambda c: awkward.withColumnRenamed("lang", c)
+    for call in (
+        lambda: transport_stream.store(named("media"), keep=("media",)), lambda: transport_stream.read(named("units"), keep=("units",)), lambda: quality.quality(awkward, None, keep=("kept",)), lambda: language.identify(awkward, None, keep=("score",)),
+        lambda: bpe.encode(named("ids"), "", keep=("ids",)), lambda: bpe.decode(named("decoded"), "", keep=("decoded",)), lambda: token_counts.token_counts(named("n_words"), "", keep=("n_words",)), lambda: packing.pack(named("rank"), 8),
+    ):
+        with pytest.raises(ValueError, match="must not be called"):
+            call()
