@@ -146,8 +146,8 @@ def mix(
     key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary"))))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")), "sizes")
-    plan = materialize(targets(rows.select("source", "size"), weights, percent, most), "targets")
-    slots = materialize(schedule(plan, block_words), "schedule")
+    plan = targets(rows.select("source", "size"), weights, percent, most)  # read from a table of sources
+    slots = schedule(plan, block_words)  # read from a table of turns
     found = taken(places(rows, plan), slots, block_words)
     found = found.join(if_small(plan), "sid")
     return found.select("doc_id", "source", "size", "source_size", "target", "taken", "sid", "start"), slots
