@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import conditions, contexts, growth, history, knowledge, matching, parsing, replies, reports, routing, scalars, slots, stores, structuring, values
+from . import conditions, contexts, growth, history, knowledge, matching, parsing, replies, reports, routing, scalars, slots, stores, structuring, summaries, values
 from .registry import ORACLE_SQL, QUERIES, Query
 
-__all__ = ["conditions", "contexts", "growth", "history", "knowledge", "matching", "parsing", "replies", "reports", "routing", "scalars", "slots", "stores", "structuring", "values", "queries", "oracle_sql"]
+__all__ = ["conditions", "contexts", "growth", "history", "knowledge", "matching", "parsing", "replies", "reports", "routing", "scalars", "slots", "stores", "structuring", "summaries", "values", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Query]:

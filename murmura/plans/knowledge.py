@@ -41,15 +41,9 @@ def supplement_replace(spark: SparkSession, d: str) -> DataFrame:
     return K.replaced_by_prefix(records, fresh, "id", ["Brand#1", "Brand#23"])
 
 
-@query("""WITH have AS (SELECT DISTINCT 'tier' AS field, p_type AS value FROM part WHERE p_partkey % 3 = 0), more AS (SELECT 'tier' AS field, min(CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_type END) AS value, lower(p_type) AS low FROM part WHERE p_partkey % 3 = 1 GROUP BY lower(p_type))
-SELECT field, value, false AS added FROM have UNION ALL SELECT field, value, true FROM more WHERE low NOT IN (SELECT lower(value) FROM have)""")
-def vocab_merge(spark: SparkSession, d: str) -> DataFrame:
-    return _merged_vocab(spark, d, "p_partkey % 3 = 1")
-
-
 @query("""WITH have AS (SELECT DISTINCT 'tier' AS field, p_type AS value FROM part WHERE p_partkey % 3 = 0), more AS (SELECT 'tier' AS field, min(CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_type END) AS value, lower(p_type) AS low FROM part WHERE p_partkey % 3 <> 0 GROUP BY lower(p_type))
-SELECT field, value, false AS added FROM have UNION ALL SELECT field, value, true FROM more WHERE low NOT IN (SELECT lower(value) FROM have)""")
-def vocab_merge_all(spark: SparkSession, d: str) -> DataFrame:
+SELECT field, value, false AS added FROM have UNION ALL SELECT field, value, true FROM more WHERE low NOT IN (SELECT lower(value) FROM have)""", also="vocab_merge_all")
+def vocab_merge(spark: SparkSession, d: str) -> DataFrame:
     """Every part is in the vocabulary or incoming."""
     return _merged_vocab(spark, d, "p_partkey % 3 <> 0")
 
@@ -235,12 +229,6 @@ def retrieve_filtered(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("place", place.cast("long")).where("place <= 3").select("query_id", "vec_id", "distance", "place")
 
 
-@query(with_tables("messages audit_log showcase creators", """shown AS (SELECT lower(trim(user_name)) AS k, max(CASE WHEN status = 'A' THEN 1 ELSE 0 END) AS is_open, count(*) AS n, max(gmv) AS shown_gmv FROM showcase WHERE campaign_id % 2 = 1 GROUP BY 1)
-SELECT a.id, a.source, a.creator_name, c.gmv, coalesce(s.is_open, 0) AS is_open, coalesce(s.n, 0) AS n, s.shown_gmv FROM audit_log a LEFT JOIN creators c ON lower(trim(c.creators_name)) = lower(trim(a.creator_name)) LEFT JOIN shown s ON s.k = lower(trim(a.creator_name)) WHERE a.source = 'shop_1'"""))
-def shop_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _shop_rows(T.showcase(spark, d).where("campaign_id % 2 = 1"), T.creators(spark, d), spark, d)
-
-
 def _shop_rows(show: DataFrame, creators: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     shown = show.groupBy(R.same_name("user_name").alias("k")).agg(F.max(F.when(F.col("status") == "A", 1).otherwise(0)).alias("is_open"), F.count("*").alias("n"), F.max("gmv").alias("shown_gmv"))
     people = creators.select(R.same_name("creators_name").alias("k"), "gmv")
@@ -250,18 +238,13 @@ def _shop_rows(show: DataFrame, creators: DataFrame, spark: SparkSession, d: str
 
 
 @query(with_tables("messages audit_log showcase all_creators", """shown AS (SELECT lower(trim(user_name)) AS k, max(CASE WHEN status = 'A' THEN 1 ELSE 0 END) AS is_open, count(*) AS n, max(gmv) AS shown_gmv FROM showcase GROUP BY 1)
-SELECT a.id, a.source, a.creator_name, c.gmv, coalesce(s.is_open, 0) AS is_open, coalesce(s.n, 0) AS n, s.shown_gmv FROM audit_log a LEFT JOIN all_creators c ON lower(trim(c.creators_name)) = lower(trim(a.creator_name)) LEFT JOIN shown s ON s.k = lower(trim(a.creator_name)) WHERE a.source = 'shop_1'"""))
-def shop_rows_all(spark: SparkSession, d: str) -> DataFrame:
+SELECT a.id, a.source, a.creator_name, c.gmv, coalesce(s.is_open, 0) AS is_open, coalesce(s.n, 0) AS n, s.shown_gmv FROM audit_log a LEFT JOIN all_creators c ON lower(trim(c.creators_name)) = lower(trim(a.creator_name)) LEFT JOIN shown s ON s.k = lower(trim(a.creator_name)) WHERE a.source = 'shop_1'"""), also="shop_rows_all")
+def shop_rows(spark: SparkSession, d: str) -> DataFrame:
     return _shop_rows(T.showcase(spark, d), T.all_creators(spark, d), spark, d)
 
 
-@query("""SELECT 'f' || p_partkey AS stem FROM part WHERE p_partkey % 3 = 0 AND p_partkey NOT IN (SELECT ps FROM (SELECT DISTINCT l_partkey AS ps FROM lineitem WHERE l_quantity > 40))""")
+@query("""SELECT 'f' || p_partkey AS stem FROM part WHERE p_partkey NOT IN (SELECT ps FROM (SELECT DISTINCT l_partkey AS ps FROM lineitem WHERE l_quantity > 40))""", also="orphan_files_all")
 def orphan_files(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(T.table(spark, d, "part").where("p_partkey % 3 = 0"), spark, d)
-
-
-@query("""SELECT 'f' || p_partkey AS stem FROM part WHERE p_partkey NOT IN (SELECT ps FROM (SELECT DISTINCT l_partkey AS ps FROM lineitem WHERE l_quantity > 40))""")
-def orphan_files_all(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(T.table(spark, d, "part"), spark, d)
 
 

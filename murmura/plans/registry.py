@@ -12,15 +12,17 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function of (spark, sf_dir) under its own name, with its SQL if SQL can express it. A name is given once."""
+def query(sql: str | None = None, also: str | None = None) -> Callable[[Query], Query]:
+    """Register a function of (spark, sf_dir) under its own name, with its SQL if SQL can express it, and under an older name that
+    it had (also). A name is given once."""
 
     def add(f: Query) -> Query:
-        if f.__name__ in QUERIES:
-            raise ValueError(f"{f.__name__} is registered by {QUERIES[f.__name__].__module__} and {f.__module__}")
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
+        for name in filter(None, (f.__name__, also)):
+            if name in QUERIES:
+                raise ValueError(f"{name} is registered by {QUERIES[name].__module__} and {f.__module__}")
+            QUERIES[name] = f
+            if sql is not None:
+                ORACLE_SQL[name] = sql
         return f
 
     return add

@@ -53,13 +53,8 @@ _SHOWCASE = """shown AS (
 )"""
 
 
-@query(with_tables("showcase creators", _SHOWCASE + " SELECT s.user_name, s.campaign_id, s.is_open, s.n, s.gmv, s.products, c.gmv AS creator_gmv, c.segment FROM shown s LEFT JOIN creators c ON lower(trim(c.creators_name)) = s.user_name"))
+@query(with_tables("showcase all_creators", _SHOWCASE + " SELECT s.user_name, s.campaign_id, s.is_open, s.n, s.gmv, s.products, c.gmv AS creator_gmv, c.segment FROM shown s LEFT JOIN all_creators c ON lower(trim(c.creators_name)) = s.user_name"), also="showcase_enrich_all")
 def showcase_enrich(spark: SparkSession, d: str) -> DataFrame:
-    return _showcase_enrich(spark, d, T.creators(spark, d))
-
-
-@query(with_tables("showcase all_creators", _SHOWCASE + " SELECT s.user_name, s.campaign_id, s.is_open, s.n, s.gmv, s.products, c.gmv AS creator_gmv, c.segment FROM shown s LEFT JOIN all_creators c ON lower(trim(c.creators_name)) = s.user_name"))
-def showcase_enrich_all(spark: SparkSession, d: str) -> DataFrame:
     return _showcase_enrich(spark, d, T.all_creators(spark, d))
 
 
@@ -74,15 +69,9 @@ def creator_union(spark: SparkSession, d: str) -> DataFrame:
     return T.audit_log(spark, d).select("creator_name").union(T.keyword_log(spark, d).select("creator_name")).distinct()
 
 
-@query(with_tables("messages audit_log creators", """SELECT a.creator_name, count(*) AS n, max(create_time) AS latest FROM audit_log a
-WHERE NOT EXISTS (SELECT 1 FROM creators c WHERE lower(trim(c.creators_name)) = lower(trim(a.creator_name))) GROUP BY 1"""))
-def missing_dim(spark: SparkSession, d: str) -> DataFrame:
-    return _missing_dim(spark, d, T.creators(spark, d))
-
-
 @query(with_tables("messages audit_log all_creators", """SELECT a.creator_name, count(*) AS n, max(create_time) AS latest FROM audit_log a
-WHERE NOT EXISTS (SELECT 1 FROM all_creators c WHERE lower(trim(c.creators_name)) = lower(trim(a.creator_name))) GROUP BY 1"""))
-def missing_dim_all(spark: SparkSession, d: str) -> DataFrame:
+WHERE NOT EXISTS (SELECT 1 FROM all_creators c WHERE lower(trim(c.creators_name)) = lower(trim(a.creator_name))) GROUP BY 1"""), also="missing_dim_all")
+def missing_dim(spark: SparkSession, d: str) -> DataFrame:
     return _missing_dim(spark, d, T.all_creators(spark, d))
 
 
@@ -93,14 +82,6 @@ def _missing_dim(spark: SparkSession, d: str, creators: DataFrame) -> DataFrame:
 
 
 _EVENTS = """events_of AS (
-  SELECT creator_name AS creator, create_time AS dt, 'reply ' || id AS text, 1 AS source_no FROM audit_log
-  UNION ALL SELECT creator_name, create_time, 'keyword ' || key_words || ' ' || id, 2 FROM keyword_log WHERE key_words = 'purchase' OR id % 10 = 0
-  UNION ALL SELECT user_name, start_time, 'showcase ' || campaign_id || '/' || product_id, 3 FROM (SELECT DISTINCT user_name, start_time, campaign_id, product_id FROM showcase WHERE status = 'R')
-  UNION ALL SELECT user_name, NULL, 'sample ' || campaign_id, 4 FROM (SELECT DISTINCT user_name, campaign_id FROM showcase WHERE sample_status = 'F' AND campaign_id % 10 = 1)
-)"""
-
-#: Every keyword event and every sample, without the samples of ids above.
-_ALL_EVENTS = """events_of AS (
   SELECT creator_name AS creator, create_time AS dt, 'reply ' || id AS text, 1 AS source_no FROM audit_log
   UNION ALL SELECT creator_name, create_time, 'keyword ' || key_words || ' ' || id, 2 FROM keyword_log
   UNION ALL SELECT user_name, start_time, 'showcase ' || campaign_id || '/' || product_id, 3 FROM (SELECT DISTINCT user_name, start_time, campaign_id, product_id FROM showcase WHERE status = 'R')
@@ -108,12 +89,10 @@ _ALL_EVENTS = """events_of AS (
 )"""
 
 
-def _events(spark: SparkSession, d: str, some: bool = True) -> list[DataFrame]:
-    """Events of four sources; some leaves out what the SQL of history_timeline and history_text leaves out by id."""
+def _events(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Events of four sources: replies, keywords, showcases, samples."""
     audit, keys, show = T.audit_log(spark, d), T.keyword_log(spark, d), T.showcase(spark, d)
     samples = show.where("sample_status = 'F'")
-    if some:
-        keys, samples = keys.where("key_words = 'purchase' or id % 10 = 0"), samples.where("campaign_id % 10 = 1")
     return [
         audit.select(F.col("creator_name").alias("creator"), F.col("create_time").alias("dt"), F.concat(F.lit("reply "), "id").alias("text"), F.lit(1).alias("source_no")),
         keys.select(F.col("creator_name").alias("creator"), F.col("create_time").alias("dt"), F.concat(F.lit("keyword "), "key_words", F.lit(" "), "id").alias("text"), F.lit(2).alias("source_no")),
@@ -122,49 +101,30 @@ def _events(spark: SparkSession, d: str, some: bool = True) -> list[DataFrame]:
     ]
 
 
-@query(with_tables("messages audit_log keyword_log showcase", _EVENTS + " SELECT creator, dt, text, source_no, row_number() OVER (PARTITION BY creator ORDER BY dt NULLS LAST, source_no, text) AS position FROM events_of"))
+@query(with_tables("messages audit_log keyword_log showcase", _EVENTS + " SELECT creator, dt, text, source_no, row_number() OVER (PARTITION BY creator ORDER BY dt NULLS LAST, source_no, text) AS position FROM events_of"), also="history_timeline_all")
 def history_timeline(spark: SparkSession, d: str) -> DataFrame:
     return R.timeline(*_events(spark, d)).withColumn("position", F.col("position").cast("long"))
 
 
 @query(with_tables("messages audit_log keyword_log showcase", _EVENTS + """, placed AS (
   SELECT creator, text, row_number() OVER (PARTITION BY creator ORDER BY dt NULLS LAST, source_no, text) AS position FROM events_of
-) SELECT creator, string_agg(text, chr(10) ORDER BY position) AS history FROM placed GROUP BY creator"""))
+) SELECT creator, string_agg(text, chr(10) ORDER BY position) AS history FROM placed GROUP BY creator"""), also="history_text_all")
 def history_text(spark: SparkSession, d: str) -> DataFrame:
     return R.joined_lines(R.timeline(*_events(spark, d)), ["creator"], "position", F.col("text"), "history")
 
 
-@query(with_tables("messages audit_log keyword_log showcase", _ALL_EVENTS + " SELECT creator, dt, text, source_no, row_number() OVER (PARTITION BY creator ORDER BY dt NULLS LAST, source_no, text) AS position FROM events_of"))
-def history_timeline_all(spark: SparkSession, d: str) -> DataFrame:
-    return R.timeline(*_events(spark, d, some=False)).withColumn("position", F.col("position").cast("long"))
-
-
-@query(with_tables("messages audit_log keyword_log showcase", _ALL_EVENTS + """, placed AS (
-  SELECT creator, text, row_number() OVER (PARTITION BY creator ORDER BY dt NULLS LAST, source_no, text) AS position FROM events_of
-) SELECT creator, string_agg(text, chr(10) ORDER BY position) AS history FROM placed GROUP BY creator"""))
-def history_text_all(spark: SparkSession, d: str) -> DataFrame:
-    return R.joined_lines(R.timeline(*_events(spark, d, some=False)), ["creator"], "position", F.col("text"), "history")
-
-
-@query(with_tables("messages audit_log keyword_log showcase", _ALL_EVENTS + """, placed AS (
+@query(with_tables("messages audit_log keyword_log showcase", _EVENTS + """, placed AS (
   SELECT creator, text, row_number() OVER (PARTITION BY creator ORDER BY dt NULLS LAST, source_no, text) AS position FROM events_of
 ) SELECT creator, (position - 1) // 100 AS chunk, string_agg(text, chr(10) ORDER BY position) AS history FROM placed GROUP BY 1, 2"""))
 def history_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The whole histories in rows of 100 events, as a creator's may be too long for one row."""
-    return R.chunked_lines(R.timeline(*_events(spark, d, some=False)), ["creator"], "position", F.col("text"), 100, "history")
-
-
-@query(with_tables("showcase product_map", """videos AS (SELECT DISTINCT user_name, campaign_id FROM showcase WHERE status = 'N'), seen AS (SELECT user_name, campaign_id, product_id, start_time FROM showcase WHERE status = 'A')
-SELECT v.user_name, v.campaign_id, s.product_id, min(s.start_time) AS first_time, count(*) AS n, min(coalesce(m.short_name, CAST(s.product_id AS VARCHAR))) AS product
-FROM videos v JOIN seen s ON v.user_name = s.user_name AND v.campaign_id = s.campaign_id LEFT JOIN product_map m ON m.campaign_id = s.product_id GROUP BY 1, 2, 3"""))
-def tap_video_join(spark: SparkSession, d: str) -> DataFrame:
-    return _tap_video_join(spark, d, T.product_map(spark, d))
+    return R.chunked_lines(R.timeline(*_events(spark, d)), ["creator"], "position", F.col("text"), 100, "history")
 
 
 @query(with_tables("showcase all_products", """videos AS (SELECT DISTINCT user_name, campaign_id FROM showcase WHERE status = 'N'), seen AS (SELECT user_name, campaign_id, product_id, start_time FROM showcase WHERE status = 'A')
 SELECT v.user_name, v.campaign_id, s.product_id, min(s.start_time) AS first_time, count(*) AS n, min(coalesce(m.short_name, CAST(s.product_id AS VARCHAR))) AS product
-FROM videos v JOIN seen s ON v.user_name = s.user_name AND v.campaign_id = s.campaign_id LEFT JOIN all_products m ON m.campaign_id = s.product_id GROUP BY 1, 2, 3"""))
-def tap_video_join_all(spark: SparkSession, d: str) -> DataFrame:
+FROM videos v JOIN seen s ON v.user_name = s.user_name AND v.campaign_id = s.campaign_id LEFT JOIN all_products m ON m.campaign_id = s.product_id GROUP BY 1, 2, 3"""), also="tap_video_join_all")
+def tap_video_join(spark: SparkSession, d: str) -> DataFrame:
     return _tap_video_join(spark, d, T.all_products(spark, d))
 
 
@@ -177,15 +137,9 @@ def _tap_video_join(spark: SparkSession, d: str, product_map: DataFrame) -> Data
     return rows.groupBy("user_name", "campaign_id", "product_id").agg(F.min("start_time").alias("first_time"), F.count("*").alias("n"), F.min(F.coalesce("short_name", F.col("product_id").cast("string"))).alias("product"))
 
 
-@query(with_tables("showcase product_map", """SELECT s.user_name, s.campaign_id, coalesce(m.short_name, 'campaign ' || s.campaign_id) AS product, count(*) AS n
-FROM showcase s LEFT JOIN product_map m ON m.campaign_id = s.campaign_id GROUP BY 1, 2, 3"""))
-def product_map_left(spark: SparkSession, d: str) -> DataFrame:
-    return _product_map_left(spark, d, T.product_map(spark, d))
-
-
 @query(with_tables("showcase all_products", """SELECT s.user_name, s.campaign_id, coalesce(m.short_name, 'campaign ' || s.campaign_id) AS product, count(*) AS n
-FROM showcase s LEFT JOIN all_products m ON m.campaign_id = s.campaign_id GROUP BY 1, 2, 3"""))
-def product_map_left_all(spark: SparkSession, d: str) -> DataFrame:
+FROM showcase s LEFT JOIN all_products m ON m.campaign_id = s.campaign_id GROUP BY 1, 2, 3"""), also="product_map_left_all")
+def product_map_left(spark: SparkSession, d: str) -> DataFrame:
     return _product_map_left(spark, d, T.all_products(spark, d))
 
 

@@ -39,14 +39,9 @@ def keyword_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def creators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 30 creators only, as the SQL has them."""
-    return all_creators(spark, sf_dir, "c_custkey <= 30")
-
-
-def all_creators(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+def all_creators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(creator_name, gmv text, tier_hint): names with spaces and capitals, as joins must normalise."""
-    return table(spark, sf_dir, "customer").where(where).select(
+    return table(spark, sf_dir, "customer").select(
         F.concat(F.lit(" Creator_"), F.col("c_custkey"), F.lit(" ")).alias("creators_name"), F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("gmv"), F.col("c_mktsegment").alias("segment"),
     )
 
@@ -60,14 +55,9 @@ def showcase(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def product_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The products of every third campaign only, as the SQL has them."""
-    return all_products(spark, sf_dir, "p_partkey % 3 = 0")
-
-
-def all_products(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+def all_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(campaign_id, short_name), one row for each campaign."""
-    return table(spark, sf_dir, "part").where(where).select(F.col("p_partkey").alias("campaign_id"), F.col("p_name").alias("short_name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("campaign_id"), F.col("p_name").alias("short_name"))
 
 
 #: The same tables for DuckDB.
@@ -76,11 +66,9 @@ SQL = {
     "audit_log": """SELECT conv_id AS id, TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) AS create_time, 'shop_' || (conv_id % 5) AS source, 'creator_' || (conv_id % 37) AS creator_name,
         string_agg('[' || turn || '][' || role || '] ' || coalesce(text, ''), chr(10) ORDER BY turn) AS message_info FROM messages GROUP BY conv_id""",
     "keyword_log": "SELECT event_id AS id, ts AS create_time, 'shop_' || (user_id % 5) AS source, 'creator_' || (user_id % 37) AS creator_name, event_type AS key_words FROM events",
-    "creators": "SELECT ' Creator_' || c_custkey || ' ' AS creators_name, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS gmv, c_mktsegment AS segment FROM customer WHERE c_custkey <= 30",
     "all_creators": "SELECT ' Creator_' || c_custkey || ' ' AS creators_name, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS gmv, c_mktsegment AS segment FROM customer",
     "showcase": """SELECT 'creator_' || (o_custkey % 37) AS user_name, l_suppkey AS campaign_id, l_partkey AS product_id, l_returnflag AS status,
         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS gmv, o_orderdate AS start_time, l_linestatus AS sample_status FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
-    "product_map": "SELECT p_partkey AS campaign_id, p_name AS short_name FROM part WHERE p_partkey % 3 = 0",
     "all_products": "SELECT p_partkey AS campaign_id, p_name AS short_name FROM part",
 }
 
