@@ -6,15 +6,17 @@ A query document first bounds its overlap with a group's token union and opens o
 1. One pass gives each document its set of shingle hashes (size and a 128-bit name of the set) and counts all tokens of
    the corpus in a sketch of fixed size. Documents with the same set become one set.
 2. A set of size n can reach the similarity only with sets that share one of its n - ceil(t n) + 1 first tokens in any
-   fixed order; rare tokens (by the sketch) come first, so that common lines and passages are not among them. The first
-   token that two sets share also bounds their overlap by the tokens after it, in either set.
+   fixed order, or l of its n - ceil(t n) + l first ones; l grows slowly with n (`needed`). Rare tokens (by the sketch) come first, so that
+   common lines and passages are not among them. The first l tokens that two sets share also bound their overlap by the
+   tokens after them, in either set.
 3. The sets that share a first token are dealt into bands of sizes that can link. The set with the fewest rarer tokens
    leads its band: an original has none of the tokens that its edited copies add, so most copies link with it. Each set is
    compared with the leaders of its own and the two next bands and with the set before it (stars and a chain, not all
    pairs). A token that two sets have is done with then.
 4. What linked is partitioned by component and band; a set that did not link is put with others of its band under the
    token of least hash that they share. The token-group matrix (token, group) gives each set the groups of other
-   components that can still qualify by size and by the tokens after the shared one, one row for each set and group.
+   components that can still qualify by size and by the tokens after the shared ones, and of which it shares l tokens: one row for
+   each set and group, with the number of tokens summed before sets are compared.
    A group is opened in steps: the union of all its members bounds the overlap, then the unions of 64 similar members
    each, and only members of those that qualify are compared.
 5. Components of all links name the result.
@@ -55,6 +57,16 @@ def _name(tokens: np.ndarray) -> tuple[int, int]:
     return digest >> 65, (digest & (1 << 64) - 1) - (1 << 63)
 
 
+def needed(size):
+    """How many of their first tokens two sets that link share, by the size of the smaller; sets hardly larger than this share all that
+    the similarity asks for."""
+    return 2 + size // 64
+
+
+#: The same in SQL.
+_NEEDED = "(2 + floor(least({a}, {b}) / 64))"
+
+
 def _key(tokens: np.ndarray, clashes: dict[int, list[int]]) -> int:
     """The key of a set. clashes: of keys that several sets have, the other 64 bits in order; all but the first get new keys,
     which are negative."""
@@ -120,7 +132,7 @@ def _prefixes(levels, clashes: dict[int, list[int]], n: int, percent: int):
                     seen.clear()
                 seen.add(name)
                 level = levels.value[own >> np.uint64(64 - SKETCH_BITS)]
-                first = np.lexsort((own, level))[: len(own) - (percent * len(own) + 99) // 100 + 1]
+                first = np.lexsort((own, level))[: len(own) - (percent * len(own) + 99) // 100 + needed(len(own))]
                 splits = np.maximum(level[first].astype(np.int64) // 8 - 16, 0)  # powers of two: a token's rows are split beyond 65,536
                 tokens.append(own[first].view(np.int64))
                 names.append(np.full(len(first), name, np.int64))
@@ -148,7 +160,8 @@ def _stars(percent: int):
 
     def near(size, rest, other_size, other_rest):
         fits = 100 * np.minimum(size, other_size) >= percent * np.maximum(size, other_size)
-        return fits & (np.minimum(rest, other_rest) * (100 + percent) >= percent * (size + other_size))
+        before = needed(np.minimum(size, other_size)) - 1  # shared tokens that may stand before this one
+        return fits & ((np.minimum(rest, other_rest) + before) * (100 + percent) >= percent * (size + other_size))
 
     def band_of(packed):
         return np.floor(np.log(packed & _SIZE) * _width(percent))
@@ -325,9 +338,9 @@ def _clashes(sets: DataFrame) -> dict[int, list[int]]:
     return {r.set_id: [r.lo, r.hi] for r in several.select("set_id", "lo", "hi").collect()}
 
 
-def _reach(rest: str, other_rest: str, sizes: str, percent: int) -> str:
-    """SQL: sets of these sizes can still link if a token, with so many from it on in either, is the first they share."""
-    return f"least({rest}, {other_rest}) * {100 + percent} >= {percent} * ({sizes})"
+def _reach(rest: str, other_rest: str, size: str, other_size: str, percent: int, before: str = "0") -> str:
+    """SQL: sets of these sizes can still link if they share a token with so many from it on in either, and `before` at most before it."""
+    return f"(least({rest}, {other_rest}) + {before}) * {100 + percent} >= {percent} * ({size} + {other_size})"
 
 
 def _verify(docs: DataFrame, first: DataFrame, members: DataFrame, queries: DataFrame, clashes: dict[int, list[int]], n: int, percent: int) -> DataFrame:
@@ -409,10 +422,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "case when g_members is not null then members is null or members < g_members or members = g_members and component < g_component "
         "else members is null and own_group <= group_id end"
     )
-    asked = own.withColumnRenamed("group_id", "own_group").join(matrix, "token").where(
-        f"{turn} and {percent} * size <= 100 * hi and {percent} * lo <= 100 * size and " + _reach("size - place", "rest", "size + lo", percent)
-    ).select("group_id", "set_id").distinct()
-    asked = materialize(asked, "asked")
+    met = own.withColumnRenamed("group_id", "own_group").join(matrix, "token").where(
+        f"{turn} and {percent} * size <= 100 * hi and {percent} * lo <= 100 * size and " + _reach("size - place", "rest", "size", "lo", percent, "size div 64 + 1")
+    )
+    # shared tokens are summed before sets are opened: the first one must reach, and there must be as many as the sizes need
+    sums = met.groupBy("group_id", "set_id").agg(F.count("*").alias("shared"), F.bool_or(F.expr(_reach("size - place", "rest", "size", "lo", percent))).alias("reaches"), F.max("size").alias("size"), F.min("lo").alias("lo"))
+    enough = f"shared >= least({_NEEDED.format(a='size', b='lo')}, ceil({percent} * size / 100))"
+    asked = materialize(sums.where(f"reaches and {enough}").select("group_id", "set_id"), "asked")
     more = materialize(_verify(docs, first, groups.join(asked.select("group_id").distinct(), "group_id").select("group_id", "set_id"), asked, clashes, n, percent), "more")
 
     joined = connected_components(links.union(more)).select(F.col("node").alias("set_id"), "component")
