@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+from .vectors import six_decimals
+
 #: What rounding to six decimals and sums in doubles may change of a distance.
 _SLACK = 2e-6
 MOST_QUERIES = 10_000
@@ -71,30 +74,40 @@ def clustered(vectors: DataFrame, centres: np.ndarray, path: str, id_col: str =
     return spark.read.schema(f"vec_id {kind}, apart double, unit array<double>, cluster int").parquet(path)
 
 
-def _search(index: DataFrame, asked: np.ndarray, names: list, reach: np.ndarray, to_pivots: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, distance, compared): of each partition the k nearest within a query's reach of each cluster, and, in a row of
-    its own, how many pairs it compared. reach: query x cluster, negative where the cluster is skipped."""
+#: Pairs of a query and a vector that a task compares at a time, and rows it holds beyond its best before these are chosen again.
+_CELLS, _HELD = 1 << 22, 1 << 20
+
+
+def _search(index: DataFrame, asked: np.ndarray, limit: np.ndarray, reach: np.ndarray, to_pivots: np.ndarray, k: int) -> DataFrame:
+    """(query, vec_id, distance, compared): of each partition the k nearest within a query's reach of each cluster and within its limit, and,
+    in a row of its own, how many pairs were within reach. reach: query x cluster, negative where the cluster is skipped."""
     kind = index.schema["vec_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, float, int]] = []
-        compared = 0
+        best, new, held, compared, bound = None, [], 0, 0, limit.copy()
         for batch in batches:
             cluster, apart = batch["cluster"].to_numpy(), batch["apart"].to_numpy()
             units, ids = batch["unit"].flatten().to_numpy().reshape(len(apart), -1), batch["vec_id"]
             for c in np.unique(cluster):
-                open_ = np.flatnonzero(reach[:, c] >= 0)
-                own = np.flatnonzero(cluster == c)
-                for q in open_:
-                    near = own[np.abs(apart[own] - to_pivots[q, c]) <= reach[q, c]]
-                    compared += len(near)
-                    if len(near):
-                        distance = np.round(1 - units[near] @ asked[q], 6) + 0.0
-                        found += [(int(q), float(d), ids[int(i)].as_py()) for d, i in zip(distance, near, strict=True)]
-            if len(found) > 20 * k * len(names):
-                found = _best(found, k)
-        found = _best(found, k)
-        yield pa.RecordBatch.from_arrays([pa.array([q for q, _, _ in found] + [None], pa.int32()), pa.array([i for _, _, i in found] + [None], batch_type), pa.array([d for _, d, _ in found] + [None], pa.float64()), pa.array([None] * len(found) + [compared], pa.int64())], ["query", "vec_id", "distance", "compared"])
+                own, open_ = np.flatnonzero(cluster == c), np.flatnonzero(reach[:, c] >= 0)
+                for at in range(0, len(open_), step := max(1, _CELLS // len(own))):
+                    q = open_[at : at + step]
+                    near = np.abs(apart[own][None, :] - to_pivots[q, c][:, None]) <= reach[q, c][:, None]
+                    compared += int(near.sum())
+                    rows = np.flatnonzero(near.any(axis=0))
+                    if not len(rows):
+                        continue
+                    d = 1 - asked[q] @ units[own[rows]].T
+                    i, j = np.nonzero(near[:, rows] & (d <= bound[q][:, None] + _SLACK))
+                    new.append(pa.table({"query": pa.array(q[i], pa.int32()), "distance": six_decimals(d[i, j]), "vec_id": ids.take(pa.array(own[rows[j]]))}))
+                    held += len(i)
+                    if held > _HELD:
+                        best, new, held = _best(pa.concat_tables([best, *new] if best else new), k, bound), [], 0
+        if new or best:
+            best = _best(pa.concat_tables([best, *new] if best else new), k, bound)
+            for b in best.combine_chunks().to_batches(max_chunksize=100_000):
+                yield pa.RecordBatch.from_arrays([b["query"], b["vec_id"], b["distance"], pa.nulls(len(b), pa.int64())], ["query", "vec_id", "distance", "compared"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, batch_type), pa.nulls(1, pa.float64()), pa.array([compared], pa.int64())], ["query", "vec_id", "distance", "compared"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -102,32 +115,45 @@ def _search(index: DataFrame, asked: np.ndarray, names: list, reach: np.ndarray,
     return index.mapInArrow(run, f"query int, vec_id {kind}, distance double, compared long")
 
 
-def _best(found: list[tuple], k: int) -> list[tuple]:
-    out, n, last = [], 0, None
-    for row in sorted(found, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0)):  # null ids first, as Spark has them
-        n = n + 1 if row[0] == last else 1
-        last = row[0]
-        if n <= k:
-            out.append(row)
-    return out
+def _best(found: pa.Table, k: int, bound: np.ndarray) -> pa.Table:
+    """The k best rows of each query, by (distance, vec_id), null ids first, as Spark has them; the k-th distance becomes its bound."""
+    found = found.take(pc.sort_indices(found, sort_keys=[("query", "ascending"), ("distance", "ascending"), ("vec_id", "ascending")], null_placement="at_start"))
+    query, distance = found["query"].to_numpy(), found["distance"].to_numpy()
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    last = place == k - 1
+    bound[query[last]] = np.minimum(bound[query[last]], distance[last])
+    return found.filter(pa.array(place < k))
 
 
-def nearest(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int) -> tuple[DataFrame, int]:
-    """((query_id, vec_id, distance, rank), pairs compared) of the k nearest vectors of a clustered index for each query (query_id, vector).
+def nearest(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, most_queries: int = MOST_QUERIES) -> tuple[DataFrame, int]:
+    """((query_id, vec_id, distance, rank), pairs within reach) of the k nearest vectors of a clustered index for each query (query_id, vector).
 
     Exact, by (distance to six decimals, vec_id). First each query is compared with the closest clusters that hold k vectors, which
-    bounds its k-th distance; then with what that bound leaves of all clusters. At most MOST_QUERIES queries are asked at once: they go to every task.
+    bounds its k-th distance; then with what that bound leaves of all clusters. The queries of a block go to every task, at most about most_queries:
+    more are dealt by hash into blocks, which are searched one after another.
     """
+    sizes = {r.cluster: r for r in index.groupBy("cluster").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()}  # one row a pivot
+    total = queries.count()
+    blocks = 1 if total <= most_queries else -(-2 * total // most_queries)
+    done, compared = None, 0
+    for n in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        found, some = _block(index, centres, sizes, block, k)
+        done, compared = found if done is None else done.union(found), compared + some
+    return done, compared
+
+
+def _block(index: DataFrame, centres: np.ndarray, sizes: dict, queries: DataFrame, k: int) -> tuple[DataFrame, int]:
     spark = index.sparkSession
-    rows = queries.select("query_id", "vector").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError("ask in blocks of queries")
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {index.schema['vec_id'].dataType.simpleString()}, distance double, rank long"
+    checkpoint_dir(spark)
+    rows = queries.select("query_id", "vector").toArrow()  # at most a block
+    asked_kind = queries.schema["query_id"].dataType.simpleString()
+    kinds = f"query_id {asked_kind}, vec_id {index.schema['vec_id'].dataType.simpleString()}, distance double, rank long"
     dim = centres.shape[1]
-    vectors = pa.array([r.vector for r in rows], pa.list_(pa.float64()))
-    at, asked = _units(vectors, dim) if dim else (np.zeros(0, int), np.zeros((0, 0)))
-    names = [rows[i].query_id for i in at]
-    sizes = {r.cluster: r for r in index.groupBy("cluster").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()}  # one row a pivot
+    vectors = rows["vector"].combine_chunks()
+    vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+    at, asked = _units(vectors, dim) if dim and len(vectors) else (np.zeros(0, int), np.zeros((0, 0)))
+    names = rows["query_id"].take(pa.array(at, pa.int64())).to_pylist()
     if not names or not sizes:
         return spark.createDataFrame([], kinds), 0
     to_pivots = _apart(asked, centres)
@@ -139,22 +165,19 @@ def nearest(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int) -
     for q in range(len(names)):
         home[q, order[q, : int(np.searchsorted(enough[q], min(k, n.sum()))) + 1]] = 4.0
     some = [int(c) for c in np.flatnonzero((home >= 0).any(axis=0))]
-    first = _search(index.where(F.col("cluster").isin(some)), asked, names, home, to_pivots, k).collect()  # k rows a query and task
-    compared = sum(r.compared or 0 for r in first)
-    bound = np.full(len(names), 2.0)
-    by_query: dict[int, list[float]] = {}
-    for r in first:  # a query's k best of each task: the k-th of all is among them
-        if r.query is not None:
-            by_query.setdefault(r.query, []).append(r.distance)
-    for q, distances in by_query.items():
-        if len(distances) >= k:
-            bound[q] = sorted(distances)[k - 1]
+    no_limit = np.full(len(names), 2.0)
+    first = _search(index.where(F.col("cluster").isin(some)), asked, no_limit, home, to_pivots, k).checkpoint()
+    compared = first.agg(F.coalesce(F.sum("compared"), F.lit(0))).first()[0]
+    bound = no_limit.copy()
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance"))
+    for r in first.where("query is not null").withColumn("place", place).where(F.col("place") == k).select("query", "distance").collect():  # one row a query of the block
+        bound[r.query] = r.distance
     tau = np.sqrt(2 * (bound + _SLACK))
     reach = np.where((to_pivots - radius[None, :] <= tau[:, None] + 1e-9) & (n > 0)[None, :], tau[:, None] + 1e-9, -1.0)
     some = [int(c) for c in np.flatnonzero((reach >= 0).any(axis=0))]
-    found = _search(index.where(F.col("cluster").isin(some)), asked, names, reach, to_pivots, k).checkpoint()
+    found = _search(index.where(F.col("cluster").isin(some)), asked, bound, reach, to_pivots, k).checkpoint()
     compared += found.agg(F.coalesce(F.sum("compared"), F.lit(0))).first()[0]
-    known = spark.createDataFrame(list(enumerate(names)), f"query int, query_id {queries.schema['query_id'].dataType.simpleString()}")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")).cast("long")
-    best = found.where("query is not null").join(F.broadcast(known), "query").withColumn("rank", place).where(F.col("rank") <= k)
+    known = spark.createDataFrame(list(enumerate(names)), f"query int, query_id {asked_kind}")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id")).cast("long")
+    best = found.where("query is not null").withColumn("rank", place).where(F.col("rank") <= k).join(F.broadcast(known), "query")
     return best.select("query_id", "vec_id", "distance", "rank"), compared

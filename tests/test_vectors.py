@@ -44,3 +44,35 @@ def test_awkward_vectors(spark, tmp_path):
     found, _ = P.nearest(built, p, asked, 10)
     assert [(x.query_id, x.vec_id, x.distance) for x in found.orderBy("rank").collect()] == [(1, None, 0.0), (1, 1, 0.0), (1, 7, 1.0), (1, 8, 1.0)]
     assert P.nearest(built, p, asked.limit(0), 3)[0].collect() == [] and P.pivots(index.limit(0)).size == 0
+
+
+def test_a_group_of_a_search_is_bounded_and_copies_are_no_pairs_in_lists(spark, tmp_path, monkeypatch):
+    """Parts of both sides, blocks within them and masses of copies give what one comparison gives."""
+    for name, value in (("PART_ENTRIES", 400), ("QUERY_ROWS", 3), ("INDEX_ROWS", 7)):
+        monkeypatch.setattr(V, name, value)
+    monkeypatch.setattr(P, "_CELLS", 50)
+    monkeypatch.setattr(P, "_HELD", 40)
+    r = np.random.default_rng(5)
+    vectors = [r.standard_normal(4).tolist() if i % 3 else [1.0, 2.0, 0.0, 1.0] for i in range(300)]
+    index = spark.createDataFrame(list(enumerate(vectors)), KIND).repartition(3)
+    asked = index.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    x = np.array(vectors)
+    d = V.six_decimals(1 - (x[::20] @ x.T) / np.outer(np.sqrt((x[::20] ** 2).sum(1)), np.sqrt((x**2).sum(1))))
+    want = sorted((20 * q, int(i), float(d[q, i]), n + 1) for q in range(15) for n, i in enumerate(np.lexsort((np.arange(300), d[q]))[:5]))
+    assert sorted(map(tuple, V.nearest(index, asked, 5, most_queries=4).collect())) == want
+    found, _ = P.nearest(P.clustered(index, p := P.pivots(index, 8), str(tmp_path / "i")), p, asked, 5, most_queries=10)
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_unknown_distances_come_last_and_pairs_hold_their_condition(spark):
+    index = spark.createDataFrame([(1, [0.0, 0.0], "a"), (2, [1.0, 0.0], "a"), (3, [0.0, 1.0], None), (4, [1.0, 1.0], "b"), (5, [1.0], "a"), (6, None, "a")], KIND + ", shop string")
+    asked = spark.createDataFrame([(7, [1.0, 0.0], "a"), (8, [1.0, 0.0], None), (9, [2.0, 0.0], "b")], "query_id int, vector array<double>, asked string")
+    rows = lambda where: [(x.query_id, x.vec_id) for x in V.nearest(index, asked, 3, where=where).orderBy("query_id", "rank").collect()]
+    assert rows(None) == [(q, v) for q in (7, 8, 9) for v in (2, 4, 3)]
+    assert rows("v.shop = 'b' or v.shop = q.asked") == [(7, 2), (7, 4), (7, 1), (8, 4), (9, 4)]
+
+
+def test_halves_are_rounded_as_spark_rounds_them(spark):
+    x = [i / 128 for i in range(-40, 257)] + [0.1234565, 1e-7, -4.9e-7, 5e-7, float("inf")]
+    rows = spark.createDataFrame([(v,) for v in x], "x double").select((F.round("x", 6) + 0.0).alias("r")).collect()
+    assert [r.r for r in rows] == V.six_decimals(np.array(x)).tolist()
