@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import slot_kind
-from .common import if_small
+from .common import dealt, if_small
 from .knowledge import assigned
 
 #: Patterns of links, percentages and amounts; hosts and surroundings of assets; surroundings of style sheets, of policies and
@@ -103,9 +103,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(shop, source_file, kind, value, begin, context, value_at, role) of values in docs (shop, source_file, text), noise left out.
 
     context is what stands within 96 characters, white space collapsed; value_at is the value's place in it. Built-in functions don't give
-    places of matches in linear time, so texts go through Python once. Null texts have none; equal rows give equal rows.
+    places of matches in linear time, so texts go through Python once, dealt out however few files they come from. Null texts have none; equal rows give
+    equal rows.
     """
-    return docs.select("shop", "source_file", "text").mapInPandas(_candidates, _CANDIDATE)
+    return dealt(docs.select("shop", "source_file", "text"), "shop", "source_file").mapInPandas(_candidates, _CANDIDATE)
 
 
 def tokens(text: Column) -> Column:
