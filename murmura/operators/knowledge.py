@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .common import if_small
+from .common import dealt, if_small
 
 GENERAL = "GEN"
 
@@ -67,17 +67,27 @@ def allowed_intents(hierarchy: DataFrame, scopes: DataFrame) -> DataFrame:
     of the scope's own path, its tier at any progress, any tier at its progress, any tier and progress, and what holds for
     all shops (for shops that are known). path is the first of these, from 0; names are compared in any case.
 
-    Each scope asks for its paths by hash: five rows a scope, no theta join.
+    Scopes that are alike ask once, by hash: five rows for each different (shop, tier, progress), no theta join. What they find is put in the place of
+    all of them, without grouping rows of scopes; only a scope_id that stands for several is grouped.
     """
     low = [F.lower(c).alias(c) for c in ("shop", "tier", "progress")]
     tree = hierarchy.select(*low, "intent").distinct()
     general = F.lit(GENERAL.lower())
-    shop, tier, progress = (F.lower(c) for c in ("shop", "tier", "progress"))
+    shop, tier, progress = (F.col(c) for c in ("shop", "tier", "progress"))
     paths = [(shop, tier, progress), (shop, tier, general), (shop, general, progress), (shop, general, general), (general, general, general)]
     made = F.array(*[F.struct(F.lit(n).alias("path"), s.alias("shop"), t.alias("tier"), p.alias("progress")) for n, (s, t, p) in enumerate(paths)])
     known = tree.select("shop").distinct()
-    asked = scopes.withColumn("shop", shop).join(known, "shop", "left_semi").select("scope_id", F.inline(made))
-    return asked.join(tree, ["shop", "tier", "progress"]).groupBy("scope_id", "intent").agg(F.min("path").alias("path"))
+    scope = F.struct(*low).alias("scope")
+    alike = scopes.select(scope).distinct().select("scope.*").join(known, "shop", "left_semi").withColumn("scope", F.struct("shop", "tier", "progress"))
+    found = alike.select("scope", F.inline(made)).join(tree, ["shop", "tier", "progress"]).groupBy("scope", "intent").agg(F.min("path").alias("path"))
+    found = found.groupBy(F.md5(F.to_json("scope")).alias("alike")).agg(F.collect_list(F.struct("intent", "path")).alias("found"))
+    asked = dealt(scopes.select("scope_id", F.md5(F.to_json(scope)).alias("alike")), "scope_id").groupBy("scope_id").agg(F.min("alike").alias("alike"), F.max("alike").alias("last"))
+    one = asked.where("alike <=> last").select("scope_id", "alike")
+    twice = asked.where("alike <> last").select(F.col("scope_id").alias("id"))
+    several = scopes.select("scope_id", F.md5(F.to_json(scope)).alias("alike")).join(if_small(twice), F.col("scope_id").eqNullSafe(F.col("id")), "left_semi")
+    found = if_small(found)
+    merged = several.join(found, "alike").select("scope_id", F.inline("found")).groupBy("scope_id", "intent").agg(F.min("path").alias("path"))
+    return one.join(found, "alike").select("scope_id", F.inline("found")).union(merged)
 
 
 def filled_down(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
