@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,22 +61,46 @@ def keep_first(df: DataFrame, keys: list[str | Column], order: list[str | Column
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """The place of each row in its key from 1; order must decide ties.
 
-    Rows are dealt by range of (keys, order), so that a hot key takes as many tasks as its rows need. A part numbers its own
-    rows of a key; what the parts before it hold of that key is added. The parts are cut in the checkpoint folder.
+    Rows are dealt and sorted by range of (keys, order), so that a hot key takes as many tasks as its rows need. A part numbers its
+    own rows of a key as they come; what the parts before it hold of that key is added to the few keys that go over a part's end. The parts are
+    cut in the checkpoint folder, the only time that whole rows are moved after they were dealt.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/murmura-numbered-{uuid.uuid4().hex}"
-    parts = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order).withColumn("__part", F.spark_partition_id())
+    place = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    parts = df.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("__part", F.spark_partition_id()).withColumn("__own", F.lit(0).cast("long"))
+    parts = parts.mapInArrow(lambda batches: _numbers(batches, keys), parts.schema)
     parts.write.parquet(path)
     parts = spark.read.schema(parts.schema).parquet(path)
     sizes = parts.groupBy("__part", *keys).agg(F.count("*").alias("__n"))  # few rows: a key is in neighbouring parts
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.coalesce(before, F.lit(0)).alias("__before"))
-    own = parts.withColumn("__own", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order)))
+    by_part = Window.partitionBy(*keys).orderBy("__part")
+    before = F.sum("__n").over(by_part.rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], before.alias("__before"), F.row_number().over(by_part).alias("__turn"))
+    sizes = sizes.where("__turn > 1").drop("__turn")  # at most one key a part goes on from another
     same = F.col("__part") == F.col("__p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
-    return own.join(sizes, same).select(*df.columns, (F.col("__own") + F.col("__before")).alias(name))
+    return parts.join(F.broadcast(sizes), same, "left").select(*df.columns, (F.col("__own") + F.coalesce("__before", F.lit(0))).alias(name))
+
+
+def _numbers(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of a sorted part with __own: each row's place among the rows of its keys, from 1."""
+    last, done = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            c, valid = batch[k], batch[k].is_valid()
+            differs = pc.or_(pc.fill_null(pc.not_equal(c[1:], c[:-1]), False), pc.not_equal(valid[1:], valid[:-1]))
+            new[1:] |= differs.to_numpy(zero_copy_only=False)
+        first = tuple(batch[k][0].as_py() for k in keys)
+        done = done if first == last else 0
+        at = np.arange(batch.num_rows)
+        starts = np.maximum.accumulate(np.where(new, at, 0))
+        own = at - starts + 1 + np.where(starts == 0, done, 0)
+        last, done = tuple(batch[k][batch.num_rows - 1].as_py() for k in keys), int(own[-1])
+        yield batch.set_column(batch.schema.get_field_index("__own"), "__own", pa.array(own, pa.int64()))
 
 
 def timeline(*events: DataFrame) -> DataFrame:

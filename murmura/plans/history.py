@@ -36,9 +36,9 @@ def events(spark: SparkSession, d: str) -> list[DataFrame]:
     signed = T.table(spark, d, "supplier").where("s_suppkey % 7 <> 0").select(_name("s_suppkey", "USER_").alias("handle"), base("2023-06-01", "cast(s_suppkey % 300 as int)").alias("at"))
     terms = T.table(spark, d, "customer").select(_name("c_custkey", "User_").alias("handle"), F.expr("timestamp '2023-01-01' + c_custkey * interval 1 hour").alias("starts"), F.when(F.col("c_custkey") % 3 != 0, F.lit("2025-01-01 00:00:00")).alias("ends"))
     lines, orders = T.table(spark, d, "lineitem"), T.table(spark, d, "orders")
-    shown = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(_name("o_custkey").alias("creator"), F.col("o_orderdate").alias("dt"), F.concat_ws(" ", F.lit("showcase"), "l_suppkey", "l_partkey", "l_returnflag").alias("text"))
-    # the first event of a key counts; all columns that are shown are in the key
-    shown = shown.groupBy("creator", "text").agg(F.min("dt").alias("dt"))
+    # the first event of a key counts; all columns that are shown are in the key, and text is made last, as it is longer
+    shown = lines.join(orders, lines.l_orderkey == orders.o_orderkey).groupBy("o_custkey", "l_suppkey", "l_partkey", "l_returnflag").agg(F.min("o_orderdate").alias("dt"))
+    shown = shown.select(_name("o_custkey").alias("creator"), "dt", F.concat_ws(" ", F.lit("showcase"), "l_suppkey", "l_partkey", "l_returnflag").alias("text"))
     ids = T.table(spark, d, "customer").groupBy(F.concat(F.lit("user_"), F.col("c_custkey") % 100).alias("handle")).agg(F.min("c_custkey").alias("id"))
     videos = orders.where("o_orderstatus = 'F'").join(ids, F.col("o_custkey") == F.col("id")).select("handle", F.col("o_orderdate").alias("dt"), F.concat(F.lit("video "), "o_orderpriority").alias("text")).distinct()
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
