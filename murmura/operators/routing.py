@@ -13,7 +13,7 @@ from ..functions import guard as G
 from ..functions import replies as R
 from ..functions.records import SHORT_REFUSALS
 from ..session import checkpoint_dir
-from .common import if_small
+from .common import dealt, if_small
 from .conditions import Vocabulary, first_rules, has_negotiation
 
 #: What a request's outcome is: how it was decided, by what text, and by which rule.
@@ -38,9 +38,10 @@ def by_gates(requests: DataFrame, v: Vocabulary, messenger_shop: str) -> tuple[D
     """Requests that need no script: withdrawn, silent, goodbye or messenger; the others with flags, emotion and intent.
 
     Requests have message, offer, shop, tier, progress, intent, refused and rejected. A refusal that answers an offer of commission where
-    prices are negotiated is about the price, and stays open. Facts of a message are computed once.
+    prices are negotiated is about the price, and stays open. Facts of a message are computed once. Requests are dealt out first, however few files they
+    come from: later stages keep the parts of the first checkpoint.
     """
-    flags = requests.withColumn("flags", R.reply_flags(F.col("message")))
+    flags = dealt(requests, "request_id").withColumn("flags", R.reply_flags(F.col("message")))
     text = F.lower(F.trim(F.coalesce("message", F.lit(""))))
     short = F.regexp_replace(text, r"[.!]+$", "").isin(*SHORT_REFUSALS)
     facts = flags.withColumns({"refuses": R.refuses_outreach(F.col("message")), "answer": F.when(F.col("shop") == messenger_shop, R.messenger_answer(F.col("message")))})
