@@ -108,11 +108,11 @@ def resolved_names(declared: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def assigned(scores: DataFrame, group: str = "shop", least: float = 0.0, ties: Column | None = None) -> DataFrame:
-    """(group, slot, value, score): greedily one value for each slot and one slot for each value, by (-score, slot, ties, value).
+    """(group, slot, value, score, and ties if given): greedily one value for each slot and one slot for each value, by (-score, slot, ties, value).
 
     scores (group, slot, value, score) has each pair once. Greedy choice is made by rounds: a pair goes in once it is the best
     left for its slot and for its value. Each round is two minimums with map-side combining, so no group is held by one task,
-    and is checkpointed.
+    and is checkpointed. Sides are never broadcast: sizes that Spark derives from files, through generators and checkpoints, are far too small.
     """
     checkpoint_dir(scores.sparkSession)
     key = F.struct((-F.col("score")).alias("worse"), "slot", *([] if ties is None else [ties.alias("ties")]), "value").alias("key")
@@ -120,12 +120,12 @@ def assigned(scores: DataFrame, group: str = "shop", least: float = 0.0, ties: C
     chosen = left.select(group, "key").limit(0)
     while not left.isEmpty():
         by_slot, by_value = (left.groupBy(group, c).agg(F.min("key").alias("key")).select(group, "key") for c in ("slot", "value"))
-        best = by_slot.join(by_value, [group, "key"]).checkpoint()
+        best = by_slot.join(by_value.hint("merge"), [group, "key"]).checkpoint()
         chosen = chosen.union(best)
         for c in ("slot", "value"):
-            left = left.join(best.select(group, F.col(f"key.{c}").alias(c)), [group, c], "left_anti")
+            left = left.join(best.select(group, F.col(f"key.{c}").alias(c)).hint("merge"), [group, c], "left_anti")
         left = left.select(group, "slot", "value", "key").checkpoint()
-    return chosen.select(group, "key.slot", "key.value", (-F.col("key.worse")).alias("score"))
+    return chosen.select(group, "key.slot", "key.value", (-F.col("key.worse")).alias("score"), *([] if ties is None else ["key.ties"]))
 
 
 def where_of(conditions: dict[str, object]) -> Column:

@@ -37,6 +37,8 @@ WIDE_SIGNS = {"gte": r"(?i)以上|gte|>=|≥|above|over|minimum", "lt": r"(?i)
 INSIDE, AGREES, CONTRADICTS, FOR_PAYMENT, AGAINST_PAYMENT, SAME_KIND, LEAST = 0.35, 0.25, 0.35, 0.35, 0.4, 0.05, 0.15
 #: A rate of commission in surroundings that don't speak of one loses points.
 COMMISSION_CONTEXT, NO_COMMISSION = r"(?i)commission|佣金|rate|percent", 0.4
+#: Different tokens of all slots up to which candidates list none but these; with more, they list all of theirs.
+VOCABULARY = 200
 
 
 @dataclass(frozen=True)
@@ -123,11 +125,32 @@ def _signs(text: Column, signs: dict[str, str]) -> Column:
     return F.filter(F.array(*[F.when(text.rlike(p), s) for s, p in signs.items()]), lambda s: s.isNotNull())
 
 
+def _offered(slots: DataFrame) -> tuple[Column, Column]:
+    """Tokens of a candidate's context and value, and slots' tokens that are parts of the value ("form" in https://formhub.example, from two letters,
+    or single ones that are tokens of it). Of slots (tokens) with few different tokens, only these are listed, as others meet none."""
+    low, value, none = F.lower("value"), tokens(F.col("value")), F.array().cast("array<string>")
+    each = slots.select(F.explode("tokens").alias("token")).distinct()
+    asked = sorted(r.token for r in each.limit(VOCABULARY + 1).collect())
+    if len(asked) <= VOCABULARY:
+        words = lambda some: F.array(*map(F.lit, some)).cast("array<string>")
+        parts = F.filter(words([t for t in asked if len(t) > 1]), lambda t: F.contains(low, t))
+        return F.array_intersect("offers", words(asked)), F.concat(parts, F.array_intersect(value, words([t for t in asked if len(t) == 1])))
+    lengths = [r.n for r in each.select(F.length("token").alias("n")).distinct().collect()]
+
+    def runs(n: int) -> Column:
+        return F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))).otherwise(none)
+
+    parts = F.flatten(F.array(none, *[runs(n) for n in lengths if n >= 2]))
+    return F.col("offers"), F.array_distinct(F.concat(F.filter(parts, lambda p: p.rlike("^[a-z0-9]+$")), F.filter(value, lambda t: F.length(t) == 1)))
+
+
 def scored_pairs(slots: DataFrame, found: DataFrame, least: float = LEAST, bonuses: tuple[Bonus, ...] = BONUSES) -> DataFrame:
     """(shop, slot, place, candidate, score) of slots (shop, slot, place) and found (candidates, with a number `candidate`) that score at least `least`.
 
     A score is the share of a slot's tokens in context and value, INSIDE of their share in the value (as a part of it, from two letters),
     points for signs and the kind, and bonuses. Pairs are made by tokens within a shop and a kind; signs are tokens too where they give points.
+    What a score needs of a candidate goes with its tokens, and what it needs of a slot follows from the name, so candidates are read once and
+    neither side is joined again.
     """
     wide = F.when(F.size("near") > 0, F.col("near")).otherwise(F.col("wide"))
     after = F.substring(F.col("context"), F.col("value_at") + F.length("value") + 1, F.lit(24))
@@ -138,26 +161,17 @@ def scored_pairs(slots: DataFrame, found: DataFrame, least: float = LEAST, bonus
     c = c.select("shop", "kind", "candidate", "value", "near", "signs", "hits", tokens(F.concat_ws(" ", "context", "value")).alias("offers"), F.col("context").rlike(COMMISSION_CONTEXT).alias("pays"))
 
     asks = F.filter(F.array(*[F.when(F.col("slot").rlike(b.slot), F.lit(f"~{i}")) for i, b in enumerate(bonuses)]), lambda h: h.isNotNull())
-    s = slots.select("shop", "slot", "place", tokens(F.replace("slot", F.lit("_"), F.lit(" "))).alias("tokens"), slot_kind(F.col("slot")).alias("slot_kind"), asks.alias("asks")).where(F.size("tokens") > 0)
+    of_slot = {"tokens": tokens(F.replace("slot", F.lit("_"), F.lit(" "))), "slot_kind": slot_kind(F.col("slot")), "asks": asks}
+    s = slots.select("shop", "slot", "place").withColumns(of_slot).where(F.size("tokens") > 0)
     kinds = F.when(F.col("slot_kind") == "any", F.array(*map(F.lit, ("url", "percent", "money")))).otherwise(F.array("slot_kind"))
-    listed = s.select("shop", "slot", F.explode(kinds).alias("kind"), "tokens", "asks").select("shop", "slot", "kind", F.explode(F.concat("tokens", "asks")).alias("token"))
-
-    # parts of values as long as a slot's token: "form" in https://formhub.example
-    lengths = [r.n for r in s.select(F.explode(F.transform("tokens", F.length)).alias("n")).distinct().collect()]
-    none = F.array().cast("array<string>")
-
-    def runs(n: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.length("value") - n + 1), lambda i: F.substring(F.lower("value"), i, F.lit(n)))
-        return F.when(F.length("value") >= n, each).otherwise(none)
-
-    parts = F.flatten(F.array(none, *[runs(n) for n in lengths if n >= 2]))
-    whole = F.filter(tokens(F.col("value")), lambda t: F.length(t) == 1)
-    parts = F.array_distinct(F.concat(F.filter(parts, lambda p: p.rlike("^[a-z0-9]+$")), whole))
+    listed = s.withColumn("kind", F.explode(kinds)).select("shop", "slot", "place", "kind", F.explode(F.concat("tokens", "asks")).alias("token"))
+    offers, parts = _offered(s)
     entry = lambda t, where: F.struct(t.alias("token"), F.lit(where).alias("where"))
-    offered = F.concat(F.transform("offers", lambda t: entry(t, 0)), F.transform(parts, lambda t: entry(t, 1)), F.transform(F.array_distinct(F.concat("near", "signs", "hits")), lambda t: entry(t, 2)))
-    index = c.select("shop", "kind", "candidate", F.inline(offered)).join(if_small(listed), ["shop", "kind", "token"])
-    met = index.groupBy("shop", "slot", "candidate").agg(F.sum(F.when(F.col("where") == 0, 1).otherwise(0)).alias("shared"), F.sum(F.when(F.col("where") == 1, 1).otherwise(0)).alias("inside"))
-    rows = met.join(if_small(s), ["shop", "slot"]).join(c.select("candidate", "kind", "near", "signs", "hits", "pays"), "candidate")
+    offered = F.concat(F.transform(offers, lambda t: entry(t, 0)), F.transform(parts, lambda t: entry(t, 1)), F.transform(F.array_distinct(F.concat("near", "signs", "hits")), lambda t: entry(t, 2)))
+    about = ["near", "signs", "hits", "pays"]
+    index = c.select("shop", "kind", "candidate", *about, F.inline(offered)).join(if_small(listed), ["shop", "kind", "token"])
+    met = index.groupBy("shop", "slot", "place", "kind", "candidate", *about).agg(F.sum(F.when(F.col("where") == 0, 1).otherwise(0)).alias("shared"), F.sum(F.when(F.col("where") == 1, 1).otherwise(0)).alias("inside"))
+    rows = met.withColumns(of_slot)
 
     asked, said = lambda w: F.array_contains("tokens", w), lambda w, of="signs": F.array_contains(of, w)
     n = F.size("tokens")
@@ -186,6 +200,6 @@ def slot_values(slots: DataFrame, docs: DataFrame, least: float = LEAST) -> Data
     best = F.min_by(F.struct("score", "candidate"), F.struct(-F.col("score"), "candidate.order")).alias("best")
     pairs = pairs.withColumn("value", same).groupBy("shop", "slot", "place", "value").agg(best)
     pairs = pairs.select("shop", F.struct("place", "slot").alias("slot"), "value", "best.score", "best.candidate")
-    chosen = assigned(pairs, "shop", least, ties=F.col("candidate.order")).select("shop", "slot", "value")
-    kept = pairs.join(chosen, ["shop", "slot", "value"]).select("shop", F.col("slot.slot").alias("slot"), "candidate.value", F.col("candidate.order.source_file").alias("source_file"), "score")
-    return slots.select("shop", "slot").join(kept, ["shop", "slot"], "left")
+    ties = F.struct("candidate.order", "candidate.value")
+    kept = assigned(pairs, "shop", least, ties=ties).select("shop", F.col("slot.slot").alias("slot"), "ties.value", F.col("ties.order.source_file").alias("source_file"), "score")
+    return slots.select("shop", "slot").join(kept.hint("merge"), ["shop", "slot"], "left")

@@ -5,6 +5,7 @@ import re
 
 import pytest
 from murmura.operators import slots as S
+from murmura.operators.common import if_small
 from pyspark.sql import functions as F
 
 DOC = "shop string, source_file string, text string"
@@ -114,3 +115,20 @@ def test_no_slots_no_documents(spark):
     assert S.slot_values(slots.limit(0), docs).collect() == []
     assert [tuple(r) for r in S.slot_values(slots, docs.limit(0)).collect()] == [("s", "a_link", None, None, None)]
     assert S.slot_values(slots, docs).where(F.col("value") == "https://a.example").count() == 1
+
+
+@pytest.mark.parametrize("vocabulary", [0, 200])
+def test_candidates_are_read_once_and_never_broadcast(spark, monkeypatch, vocabulary):
+    """Sizes by files say that each side is small; beyond a count of rows none may go to the driver."""
+    monkeypatch.setattr(S, "VOCABULARY", vocabulary)
+    monkeypatch.setattr(S, "if_small", lambda df: if_small(df, 5))
+    docs = spark.createDataFrame(documents(random.Random(7), 12), DOC)
+    slots = spark.createDataFrame([(f"s{k}", s, i) for k in range(4) for i, s in enumerate(SLOTS)], "shop string, slot string, place int")
+    found = S.candidates(docs).withColumn("candidate", F.struct("shop", "source_file", "begin"))
+    pairs = S.scored_pairs(slots, found)
+    made = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in made and made.count("MapInPandas") == 1
+    want = {(c["shop"], s, c["source_file"], c["begin"]): brute_score(s, c) for c in (x.asDict() for x in found.collect()) for s in SLOTS if kind_of(s) in ("any", c["kind"])}
+    got = {(x.shop, x.slot, x.candidate.source_file, x.candidate.begin): x.score for x in pairs.collect()}
+    assert got == {k: v for k, v in want.items() if v >= 0.15} != {}
+    assert "Broadcast" not in S.slot_values(slots, docs)._jdf.queryExecution().executedPlan().toString()
