@@ -67,3 +67,15 @@ def test_numbering_moves_whole_rows_once(spark):
     for each in by_key.values():
         each.sort()
         assert [e[0] for e in each] == list(range(1, len(each) + 1)) and [e[1:] for e in each] == sorted(e[1:] for e in each)
+
+
+@pytest.mark.parametrize("ids", [0, 1_000_000])
+def test_pairs_of_lists_are_short_and_hold_plain_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(common, "BROADCAST_IDS", ids)
+    own = lambda name, n: spark.range(n).select(F.when(F.col("id") > 0, F.col("id")).alias(f"{name}_id"), F.lit("x").alias("signature"))
+    found = common.spread(spark.createDataFrame([("x", "x")], "context_signature string, rule_signature string"), own("rule", 900), own("context", 300))
+    made = plan(found)
+    assert "inline" not in made and found.count() == 900 * 300
+    assert found.distinct().count() == 900 * 300 and found.where("rule_id IS NULL").count() == 300 and found.where("context_id IS NULL").count() == 900
+    lists = common._lists(own("rule", 9000), "rule", common.RULE_LIST)[1]
+    assert lists.agg(F.max(F.size("rules"))).head()[0] * common.CONTEXT_LIST <= 1 << 16
