@@ -79,3 +79,45 @@ def test_pairs_of_lists_are_short_and_hold_plain_ids(spark, monkeypatch, ids):
     assert found.distinct().count() == 900 * 300 and found.where("rule_id IS NULL").count() == 300 and found.where("context_id IS NULL").count() == 900
     lists = common._lists(own("rule", 9000), "rule", common.RULE_LIST)[1]
     assert lists.agg(F.max(F.size("rules"))).head()[0] * common.CONTEXT_LIST <= 1 << 16
+
+
+def shuffled(spark, df):
+    """Rows of df, and rows that its shuffles write when it is run."""
+    context, group = spark.sparkContext, f"shuffled-{id(df)}"
+    context.setJobGroup(group, group)
+    rows = df.count()
+    context.setJobGroup("", "")
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in context.statusTracker().getJobIdsForGroup(group) for s in context.statusTracker().getJobInfo(j).stageIds}
+    found = [context._jsc.sc().statusStore().lastStageAttempt(s) for s in stages]
+    return rows, sum(s.shuffleWriteRecords() for s in found)
+
+
+def copies_of(df, key, n):
+    return df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(key, F.col(key) * n + F.col("k")).drop("k")
+
+
+@pytest.mark.parametrize("ids", [0, 1_000_000])
+def test_rule_match_pairs_of_lists_are_no_rows_of_a_shuffle(spark, monkeypatch, ids):
+    for name, value in (("BROADCAST_IDS", ids), ("CONTEXT_LIST", 4), ("RULE_LIST", 4)):
+        monkeypatch.setattr(common, name, value)
+    rules, contexts = matching.rules_of(spark, DATA).where("rule_id < 60"), matching.contexts_of(spark, DATA).where("context_id < 60")
+    once = L.match_rules(rules, contexts).count()
+    (few, small), (many, large) = [shuffled(spark, L.match_rules(copies_of(rules, "rule_id", n), copies_of(contexts, "context_id", n))) for n in (60, 120)]
+    assert few == 60 * 60 * once > 0 and many == 4 * few
+    assert large < 3 * small and large < many / 16  # both sides doubled: four times the pairs, of ids and of lists
+
+
+@pytest.mark.parametrize("rules,contexts", [(30, 4), (4, 30), (1, 1)])
+@pytest.mark.parametrize("ids", [0, 1_000_000])
+def test_pairs_are_made_in_bounded_cells(spark, monkeypatch, ids, rules, contexts):
+    for name, value in (("BROADCAST_IDS", ids), ("CONTEXT_LIST", 3), ("RULE_LIST", 5), ("GROUP_IDS", 50), ("CELL_PAIRS", (200, 200))):
+        monkeypatch.setattr(common, name, value)
+    own = lambda name, n, signatures: spark.range(n).select(F.when(F.col("id") > 0, F.col("id")).alias(f"{name}_id"), F.concat(F.lit(name), F.col("id") % signatures).alias("signature"))
+    pairs = [(f"context{c}", f"rule{r}") for c in range(contexts) for r in range(rules) if (c + r) % 3 < 2]
+    found = common.spread(spark.createDataFrame(pairs, "context_signature string, rule_signature string"), own("rule", 400, rules), own("context", 300, contexts))
+    assert "SortMergeJoin" in plan(found) and found.columns == ["context_id", "rule_id"]
+    want = sorted((c or -1, r or -1) for c in range(300) for r in range(400) if (c % contexts + r % rules) % 3 < 2)
+    assert sorted((-1 if c is None else c, -1 if r is None else r) for c, r in found.collect()) == want
+    none = common.spread(spark.createDataFrame([], "context_signature string, rule_signature string"), own("rule", 4, rules), own("context", 3, contexts))
+    assert none.count() == 0
