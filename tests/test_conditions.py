@@ -3,12 +3,14 @@
 import random
 
 import pytest
+from murmura.operators import common
 from murmura.operators import conditions as C
 from murmura.plans import registry
 from murmura.plans.conditions import WORDS, contexts_of, rules_of
 from pyspark.sql import functions as F
 
 from .conftest import DATA
+from .test_growth_of_work import copies_of, shuffled
 
 KIND = "array<string>"
 
@@ -84,3 +86,15 @@ def test_order_and_repeats_in_a_field_are_no_difference(spark):
     rows = [(1, "x", ["b", "a"], *empty), (2, "x", ["a", "b", "a", " GEN "], *empty), (3, "x", ["a"], *empty), (None, None, None, *[None] * 7)]
     own, signatures = C.context_signatures(spark.createDataFrame(rows, schema), WORDS)
     assert own.select("signature").distinct().count() == 3 == signatures.select("context_signature").distinct().count() and own.count() == 4
+
+
+@pytest.mark.parametrize("any_shop", [False])
+def test_condition_match_pairs_of_lists_are_no_rows_of_a_shuffle(spark, sides, monkeypatch, any_shop):
+    for name, value in (("BROADCAST_IDS", 0), ("CONTEXT_LIST", 4), ("RULE_LIST", 4)):
+        monkeypatch.setattr(common, name, value)
+    rules, contexts = sides[0].where("rule_id < 60"), sides[1].where("context_id < 60")
+    once = C.match_conditions(rules, contexts, WORDS, any_shop).count()
+    make = lambda n: C.match_conditions(copies_of(rules, "rule_id", n), copies_of(contexts, "context_id", n), WORDS, any_shop)
+    (few, small), (many, large) = shuffled(spark, make(80)), shuffled(spark, make(160))
+    assert few == 80 * 80 * once > 0 and many == 4 * few
+    assert large < 3 * small and large < many / 16
