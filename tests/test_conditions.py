@@ -88,7 +88,7 @@ def test_order_and_repeats_in_a_field_are_no_difference(spark):
     assert own.select("signature").distinct().count() == 3 == signatures.select("context_signature").distinct().count() and own.count() == 4
 
 
-@pytest.mark.parametrize("any_shop", [False])
+@pytest.mark.parametrize("any_shop", [False, True])
 def test_condition_match_pairs_of_lists_are_no_rows_of_a_shuffle(spark, sides, monkeypatch, any_shop):
     for name, value in (("BROADCAST_IDS", 0), ("CONTEXT_LIST", 4), ("RULE_LIST", 4)):
         monkeypatch.setattr(common, name, value)
