@@ -1,5 +1,7 @@
 """What grows with rows is dealt out; what can be done once for rows that are alike is."""
 
+import uuid
+
 import pytest
 from murmura.operators import common
 from murmura.operators import conditions as C
@@ -83,7 +85,7 @@ def test_pairs_of_lists_are_short_and_hold_plain_ids(spark, monkeypatch, ids):
 
 def shuffled(spark, df):
     """Rows of df, and rows that its shuffles write when it is run."""
-    context, group = spark.sparkContext, f"shuffled-{id(df)}"
+    context, group = spark.sparkContext, f"shuffled-{uuid.uuid4()}"
     context.setJobGroup(group, group)
     rows = df.count()
     context.setJobGroup("", "")
